@@ -1,0 +1,37 @@
+"""Written intermediate tables in the shared folder of ``spark.checkpoint.dir``.
+
+A table that two consumers need is written once, so an expensive Python pass is not run twice and a lost executor costs a
+read instead of the lineage. Folders are removed when the driver's Python ends."""
+
+from __future__ import annotations
+
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame
+
+from ..session import ensure_checkpoint_dir
+
+_written: list[tuple[object, str]] = []
+
+
+def _remove_all() -> None:
+    for spark, path in _written:
+        try:
+            location = spark._jvm.org.apache.hadoop.fs.Path(path)
+            location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; the folder is then the cluster's to clean
+            pass
+    _written.clear()
+
+
+atexit.register(_remove_all)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read back. Columns, types and rows are the same."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/palimpsest-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
