@@ -1,0 +1,26 @@
+"""Distributed prefix sums in hash order, without a window over the whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Hash ranges a group is cut into; the sums of the ranges are the only rows that a single window sees.
+RANGES = 4096
+
+
+def prefix_sums(df: DataFrame, group: list[str], key: Column, value: str, out: str = "before") -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of the same ``group`` whose ``key`` (a 64-bit hash, ties in
+    the order of the columns) is smaller. Rows are sorted within hash ranges, so a group that holds most rows is spread
+    over all tasks; the range totals (at most groups x ``RANGES`` rows) carry the sums across."""
+    width = (1 << 64) // RANGES
+    ranged = df.withColumn("_key", key).withColumn("_range", F.floor(F.col("_key") / F.lit(float(width))).cast("int"))
+    totals = ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_total"))
+    carried = totals.withColumn("_carry", F.sum("_total").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = Window.partitionBy(*group, "_range").orderBy("_key", *[c for c in df.columns if c not in group and c != value]).rowsBetween(Window.unboundedPreceding, -1)
+    same = [ranged[c].eqNullSafe(carried[c]) for c in (*group, "_range")]
+    summed = ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    names = [*df.columns]
+    joined = summed.alias("l").join(carried.select(*[F.col(c).alias(f"_r_{c}") for c in (*group, "_range")], "_carry"), [F.col(f"l.{c}").eqNullSafe(F.col(f"_r_{c}")) for c in (*group, "_range")], "left")
+    del same
+    return joined.select(*[F.col(f"l.{c}") for c in names], (F.col("_inside") + F.coalesce("_carry", F.lit(0))).alias(out))
