@@ -417,6 +417,8 @@ def label_passages(df: DataFrame, key: str, text: str, model: Model) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         crf = shared.value
         for batch in batches:
+            if not len(batch):
+                continue
             distinct = {t: None for t in batch["text"] if t is not None}
             cut = [tokens(t) for t in distinct]
             found = {}

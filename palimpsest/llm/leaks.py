@@ -311,7 +311,8 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                         size += len(texts[end]) + 1
                         end += 1
                     pairs = find(index, texts[at:end]) if index.ids else []
-                    yield pd.DataFrame({"doc_id": [int(ids[at + d]) for d, _ in pairs], "item_id": [index.ids[i] for _, i in pairs]}, dtype="int64")
+                    if pairs:
+                        yield pd.DataFrame({"doc_id": [int(ids[at + d]) for d, _ in pairs], "item_id": [index.ids[i] for _, i in pairs]}, dtype="int64")
                     at = end
 
         found = source.mapInPandas(run, "doc_id bigint, item_id bigint")

@@ -138,7 +138,8 @@ def block_rows(documents: DataFrame, key: str, text: str) -> DataFrame:
                     raw = block.encode("utf-8", "replace")
                     ratio = len(zlib.compress(raw, 6)) / max(1, len(raw))
                     rows.append((number, script, len(raw).bit_length() * 2 + (len(raw) >> max(0, len(raw).bit_length() - 2) & 1), len(block), ratio, sentence_share(block), listed_share(block)))
-            yield pd.DataFrame(rows, columns=["doc_id", "script", "bucket", "n_chars", "ratio", "sentences", "listed"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "script", "bucket", "n_chars", "ratio", "sentences", "listed"])
 
     source = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
     return source.mapInPandas(run, "doc_id bigint, script string, bucket int, n_chars bigint, ratio double, sentences double, listed double")

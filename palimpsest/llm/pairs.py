@@ -149,6 +149,8 @@ def examine(df: DataFrame, table: str, key: str, prompt: str, response: str, mod
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         crf = shared.value
         for batch in batches:
+            if not len(batch):
+                continue
             known: dict[tuple, int] = {}
             rows = []
             canon, state, defect = [], [], []

@@ -81,6 +81,8 @@ def parse(df: DataFrame, table: str, key: str, text: str, model_output: bool) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             known: dict[str | None, tuple[str, int]] = {}
             canon, state = [], []
             for raw in batch["raw"]:
@@ -120,7 +122,8 @@ def _successors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             elif before_open and canon.startswith(before):
                 cut.append(before)
             before, before_open = canon, is_open
-        yield pd.DataFrame({"kind": 0, "number": number, "canon": cut})
+        if cut:
+            yield pd.DataFrame({"kind": 0, "number": number, "canon": cut})
     if first is not None:
         yield pd.DataFrame({"kind": [1, 2] if before_open else [1], "number": number, "canon": [first, before] if before_open else [first]})
 
