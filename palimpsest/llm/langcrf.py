@@ -106,6 +106,11 @@ def tokens(text: str) -> tuple[list[str], list[bool]]:
     return words, breaks
 
 
+def bare_words(text: str) -> list[str]:
+    """The words of :func:`tokens`, without their boundaries."""
+    return _TOKEN.findall((text if text.isascii() else stable_form(text) or "").lower())
+
+
 def features(word: str) -> list[str]:
     """What is said of a word: script, lexicons, affixes and character n-grams."""
     if script_of(word) in ("cyrillic", "greek") and _LATIN.search(word):
@@ -173,14 +178,17 @@ class Model:
         if len(self.known) > most:
             self.known, self.table = {}, None
 
-    def share(self, words: list[str], label: str) -> float:
-        """Mean probability of ``label`` over the words, each looked at alone."""
-        if not words:
-            return 0.0
-        ids = self.ids(words)
-        rows = self.table[ids]
+    def shares(self, texts: list[list[str]], labels: list[str]) -> np.ndarray:
+        """For each list of words, none empty, the mean probability of its label over the words, each looked at alone."""
+        if not texts:
+            return np.zeros(0)
+        ids = [self.ids(words) for words in texts]
+        sizes = np.array([len(x) for x in ids])
+        rows = self.table[: len(self.known)]
         p = np.exp(rows - rows.max(axis=1, keepdims=True))
-        return float((p[:, _INDEX[label]] / p.sum(axis=1)).mean())
+        p /= p.sum(axis=1, keepdims=True)
+        flat = p[np.concatenate(ids), np.repeat([_INDEX[label] for label in labels], sizes)]
+        return np.add.reduceat(flat, np.r_[0, np.cumsum(sizes)[:-1]]) / sizes
 
     def marginals(self, sequences: list[tuple[list[str], list[bool]]]) -> list[np.ndarray]:
         """Forward-backward marginals (words x labels) of each sequence, batched over sequences of like length."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .answers import has_words, letters, read_answer
-from .langcrf import LABELS, Model, passages, tokens
+from .langcrf import LABELS, Model, bare_words, passages, tokens
 from .storage import materialize
 from .tables import target_of_pair
 from .truncation import COMPLETE, EMPTY, judge_cut, reference_letters, tail_state
@@ -120,7 +120,7 @@ class Reading(NamedTuple):
 
     @classmethod
     def of(cls, text: str) -> Reading:
-        return cls(letters(skeleton(text) or ""), tokens(text)[0])
+        return cls(letters(skeleton(text) or ""), bare_words(text))
 
 
 def is_copy(answer: Reading, prompt: Reading) -> bool:
@@ -154,7 +154,7 @@ def examine(df: DataFrame, table: str, key: str, prompt: str, response: str, mod
             known: dict[tuple, int] = {}
             rows = []
             canon, state, defect = [], [], []
-            pending: list[tuple[int, list[str], list[bool], str]] = []
+            asked_of: list[tuple[int, str, list[str], str]] = []
             read: dict[str | None, tuple] = {}
             prompts: dict[str, Reading] = {}
             for raw, asked, target in zip(batch["raw"], batch["asked"], batch["target"], strict=True):
@@ -167,9 +167,8 @@ def examine(df: DataFrame, table: str, key: str, prompt: str, response: str, mod
                 if raw not in read:
                     answer = read_answer(raw, model_output)
                     ends = tail_state(answer)
-                    words, breaks = tokens(answer.text)
-                    read[raw] = (answer, ends, breaks, Reading(letters(skeleton(answer.text) or ""), words))
-                answer, ends, breaks, reading = read[raw]
+                    read[raw] = (answer, ends, Reading.of(answer.text))
+                answer, ends, reading = read[raw]
                 words = reading.words
                 if asked and asked not in prompts:
                     prompts[asked] = Reading.of(asked)
@@ -180,13 +179,16 @@ def examine(df: DataFrame, table: str, key: str, prompt: str, response: str, mod
                     kind, ends = "refusal", COMPLETE
                 elif asked and is_copy(reading, prompts[asked]):
                     kind = "copied_source"
-                elif target in LABELS and words and crf.share(words, target) < 0.4:
-                    pending.append((number, words, breaks, target))
+                elif target in LABELS and words:
+                    asked_of.append((number, answer.text, words, target))
                 canon.append(reading.plain)
                 state.append(ends)
                 defect.append(kind)
-            for (number, words, _, target), m in zip(pending, crf.marginals([(w, b) for _, w, b, _ in pending]), strict=True):
-                found = passages(words, m)
+            # words alone settle most; the chain labels the texts that do not look like the target's
+            alone = crf.shares([w for _, _, w, _ in asked_of], [t for _, _, _, t in asked_of])
+            pending = [(number, target, tokens(text)) for (number, text, _, target), share in zip(asked_of, alone, strict=True) if share < 0.4]
+            for (number, target, cut), m in zip(pending, crf.marginals([c for _, _, c in pending]), strict=True):
+                found = passages(cut[0], m)
                 own = sum(p.words + p.han for p in found if p.language == target and (p.words >= 3 or p.han >= 5))
                 sure = any(p.language != target and p.confidence >= 0.6 and (p.words >= 2 or p.han >= 4) for p in found)
                 if sure and not own:

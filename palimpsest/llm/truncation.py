@@ -54,9 +54,10 @@ def tail_state(answer: Answer) -> int:
         return EMPTY
     if text.count("(") > text.count(")") or text.count("（") > text.count("）"):
         return CUT
-    if _OMISSION.search(text):
+    tail = text[-40:]  # the patterns end at the end of the text
+    if _OMISSION.search(tail):
         return GUESS_CUT
-    if _END.search(text):
+    if _END.search(tail):
         return COMPLETE
     return GUESS_CUT if open_ended(text) else OPEN_END
 
