@@ -40,7 +40,7 @@ def write_inspection(sheets: dict[str, DataFrame], path: str) -> list[str]:
         if df.isEmpty():
             continue
         flat = df.withColumns({c: F.array_join(c, ", ") for c, t in df.dtypes if t == "array<string>"})
-        flat.write.mode("overwrite").csv(f"{path}/{name}", header=True, escape='"', multiLine=True)
+        flat.write.mode("overwrite").csv(f"{path}/{name}", header=True, escape="\"")
         written.append(name)
     return written
 
