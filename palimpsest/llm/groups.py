@@ -52,10 +52,11 @@ def _merge_labels(pairs: DataFrame) -> DataFrame:
     """``(label, root)`` of the small graph of colliding labels: each label's root is the least of its component."""
     both = cut_lineage(pairs.union(pairs.select("b", "a")).toDF("a", "b").distinct())
     roots = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    roots = cut_lineage(roots)
     while True:
-        roots = cut_lineage(roots)
         near = both.join(roots.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
         stepped = roots.join(near, "a").select("a", "root", F.least("root", "near").alias("low"))
+        # the root of the root: chains halve with every round
         jumped = stepped.join(roots.toDF("low", "far"), "low", "left").select("a", "root", F.least("low", F.coalesce("far", "low")).alias("next"))
         jumped = cut_lineage(jumped)
         changed = jumped.where("next <> root").limit(1).count()
@@ -73,18 +74,19 @@ def components(edges: DataFrame) -> DataFrame:
     collisions: DataFrame | None = None
     for share in (*SEED_SHARES, 1):
         fresh = nodes if visited is None else nodes.join(visited, "node", "left_anti")
-        seeds = fresh.where(F.pmod(F.xxhash64("node", F.lit(share)), F.lit(share)) == 0)
-        frontier = cut_lineage(seeds.select("node", F.col("node").alias("label")))
+        frontier = cut_lineage(fresh.where(F.pmod(F.xxhash64("node", F.lit(share)), F.lit(share)) == 0).select("node", F.col("node").alias("label")))
         while frontier.limit(1).count():
-            visited = frontier if visited is None else cut_lineage(visited.unionByName(frontier))
+            # each part is a written frontier, so the union stays as shallow as the search is deep
+            visited = frontier if visited is None else visited.unionByName(frontier)
             reached = frontier.join(edges, frontier["node"] == edges["a"]).select(F.col("b").alias("node"), "label").distinct()
             known = reached.join(visited.withColumnRenamed("label", "old"), "node", "left")
             # a node's label is the one it has, else the least that reached it; every other label there collides with it
-            least = known.groupBy("node").agg(F.min(F.coalesce("old", "label")).alias("own"), F.max("old").isNull().alias("new"))
-            step = cut_lineage(known.select("node", "label").join(least, "node"))
+            own = F.coalesce(F.max("old"), F.min("label")).alias("own")
+            found = known.groupBy("node").agg(own, F.max("old").isNull().alias("new"))
+            step = cut_lineage(known.select("node", "label").join(found, "node"))
             met = step.where("label <> own").select(F.col("label").alias("a"), F.col("own").alias("b")).distinct()
             collisions = met if collisions is None else collisions.unionByName(met)
-            frontier = cut_lineage(step.where("new").select("node", F.col("own").alias("label")).distinct())
+            frontier = step.where("new").select("node", F.col("own").alias("label")).distinct()
     if visited is None or collisions is None:
         return nodes.select("node", F.col("node").alias("root"))
     roots = _merge_labels(collisions.distinct())
