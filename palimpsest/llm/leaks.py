@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .unicode_forms import LOOKALIKES, stable_form
+from .unicode_forms import caseless, stable_form
 
 #: Exact run of words (characters for text without spaces), and the length from which one unit in ten may be replaced.
 EXACT_WORDS, LOOSE_WORDS = 12, 15
@@ -54,9 +54,8 @@ def _folding() -> np.ndarray:
             table[code] = _SPACE
         elif char.isalnum():
             if code < 0x2E80 or 0xFF00 <= code:
-                folded = unicodedata.normalize("NFKD", LOOKALIKES.get(char, char).casefold())[0]
-                folded = LOOKALIKES.get(folded, folded).casefold()[:1]
-                table[code] = ord(folded)
+                folded = unicodedata.normalize("NFKD", caseless(char))[0]
+                table[code] = ord(caseless(folded)[0])
             else:
                 table[code] = code
     return table
@@ -85,7 +84,7 @@ def _plain(text: str) -> str:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    return stable_form(text) or ""
+    return (stable_form(text) or "").replace("ß", "ss").replace("ẞ", "SS")
 
 
 def stream(texts: list[str]) -> Stream:

@@ -116,6 +116,27 @@ def skeleton(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", out.translate(_LOOKALIKE_TABLE))
 
 
+def _case_closed() -> dict[int, str]:
+    """``LOOKALIKES`` for comparison without case: both cases of a letter have one prototype (в, м, н, т that of В, М, Н, Т).
+    Where each case looks like another letter (Ν and ν like N and v, Υ and υ, Ӏ and ӏ) each keeps its own: one prototype
+    would make different Latin letters equal."""
+    out = {k.casefold(): v.casefold() for k, v in LOOKALIKES.items()} | {k: v.casefold() for k, v in LOOKALIKES.items()}
+    return {ord(k): v for k, v in out.items()}
+
+
+_CASELESS_TABLE = _case_closed()
+
+
+def caseless(text: str) -> str:
+    """Text with look-alikes mapped and case folded, in whatever case it is written. For comparison only; not composed."""
+    return text.translate(_CASELESS_TABLE).casefold().translate(_CASELESS_TABLE)
+
+
+def caseless_skeleton(text: str | None) -> str | None:
+    """Comparison form where case does not count either. Not for what a reader sees: в is b here, as В is B."""
+    return None if text is None else unicodedata.normalize("NFC", caseless(stable_form(text) or ""))
+
+
 def may_change(column: Column) -> Column:
     """JVM-side quick check: false where the stable form is certainly the text itself."""
     return ~column.rlike(STABLE_JAVA)
