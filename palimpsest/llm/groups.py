@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .ordering import prefix_sums
 from .storage import materialize
-from .unicode_forms import skeleton
+from .unicode_forms import caseless_skeleton
 
 #: Share of the unvisited nodes that become seeds, round by round; what the last leaves is seeded whole.
 SEED_SHARES = (6,)
@@ -32,7 +32,7 @@ def same_text_key(text: Column) -> Column:
             out = []
             for value in batch:
                 if value is not None and value not in known:
-                    known[value] = "".join((skeleton(value.casefold()) or "").casefold().split())
+                    known[value] = "".join((caseless_skeleton(value) or "").split())
                 out.append(None if value is None else known[value])
             yield pd.Series(out, dtype=object, index=batch.index)
 

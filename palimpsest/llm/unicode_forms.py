@@ -134,7 +134,9 @@ def caseless(text: str) -> str:
 
 def caseless_skeleton(text: str | None) -> str | None:
     """Comparison form where case does not count either. Not for what a reader sees: в is b here, as В is B."""
-    return None if text is None else unicodedata.normalize("NFC", caseless(stable_form(text) or ""))
+    if text is None or text.isascii():
+        return None if text is None else text.casefold()
+    return unicodedata.normalize("NFC", caseless(stable_form(text) or ""))
 
 
 def may_change(column: Column) -> Column:

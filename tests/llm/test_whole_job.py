@@ -2,7 +2,7 @@
 
 import pytest
 
-from palimpsest.llm import leaks, unicode_forms
+from palimpsest.llm import groups, leaks, unicode_forms
 
 
 RUSSIAN = "До особого распоряжения ремонтная мастерская исправляет сломанный насос, а вечером ночной поезд меняет маршрут у моста"
@@ -23,3 +23,10 @@ def test_lookalikes_are_closed_under_case():
     assert unicode_forms.caseless("н") == "h" and unicode_forms.caseless("n") != unicode_forms.caseless("v")
     # what a reader sees is another matter
     assert unicode_forms.skeleton("в") != "b"
+
+
+def test_same_text_in_any_case(spark):
+    texts = ["Mekarome, the map of Townhall", "Мekarome, the map of Тownhall", "МЕKAROME, THE MAP OF ТOWNНALL", "mekarome,the map of townhall", "Mekarome, the map of Vownhall"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    keys = {r.k: r.h for r in df.select("k", groups.same_text_key(df.t).alias("h")).collect()}
+    assert len({keys[k] for k in range(4)}) == 1 and keys[4] != keys[0]
