@@ -173,8 +173,8 @@ def normalise_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def looks_same(left: Column, right: Column) -> Column:
     """True where two texts differ by code points and look the same. Null on either side gives false.
 
-    Pairs that are equal, or whose lengths cannot belong to one reading (a ligature or presentation form stands for at
-    most 18 characters; invisible characters are not counted in the JVM), are decided without Python."""
+    All pairs are compared by their skeletons: no length tells readings apart, as a syllable may be three jamo and a
+    ligature stand for 18 characters."""
     pair = F.struct(left.alias("a"), right.alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -196,12 +196,6 @@ def looks_same(left: Column, right: Column) -> Column:
     return udf(pair)
 
 
-def bare_length(column: Column) -> Column:
-    """Letters and digits of ASCII and all other characters, without marks, spaces and invisible characters: a number
-    that normalisation can change only where it folds a ligature or composes."""
-    return F.length(F.regexp_replace(column, f"[{INVISIBLE}\\s\\p{{Z}}\\p{{M}}]+", ""))
-
-
 def disguised_rows(df: DataFrame, key: str, text: str, reference: str, table: str) -> DataFrame:
     """Rows ``(tbl, rec_id)`` of ``df`` whose ``text`` differs from ``reference`` by code points while a reader sees the same.
 
@@ -212,6 +206,5 @@ def disguised_rows(df: DataFrame, key: str, text: str, reference: str, table: st
         & F.col("b").isNotNull()
         & (F.col("a") != F.col("b"))
         & (F.col("a").rlike(r"[^\x00-\x7F]") | F.col("b").rlike(r"[^\x00-\x7F]"))
-        & (F.abs(bare_length(F.col("a")) - bare_length(F.col("b"))) <= 8 + F.greatest(F.length("a"), F.length("b")) / 8)
     )
     return near.where(looks_same(F.col("a"), F.col("b"))).select(F.lit(table).alias("tbl"), "rec_id").distinct()

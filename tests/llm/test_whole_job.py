@@ -1,5 +1,7 @@
 """Cases that a reviewer found missing from the results."""
 
+import unicodedata
+
 import pytest
 
 from palimpsest.llm import groups, leaks, unicode_forms
@@ -30,3 +32,10 @@ def test_same_text_in_any_case(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     keys = {r.k: r.h for r in df.select("k", groups.same_text_key(df.t).alias("h")).collect()}
     assert len({keys[k] for k in range(4)}) == 1 and keys[4] != keys[0]
+
+
+def test_disguised_rows_of_any_length(spark):
+    korean = "위원회는 월말 전에 연간 예산을 발표하고 도서관은 계곡의 지도를 보관하며 밤 기차는 다리 옆에서 노선을 바꾼다."
+    rows = [(1, unicodedata.normalize("NFD", korean), korean), (2, "ﷺ " * 9, unicodedata.normalize("NFKC", "ﷺ " * 9)), (3, "…" * 40, "..." * 40), (4, unicodedata.normalize("NFD", korean), korean[:-9])]
+    df = spark.createDataFrame(rows, "idx int, translation string, reference string")
+    assert sorted(r.rec_id for r in unicode_forms.disguised_rows(df, "idx", "translation", "reference", "benchmark").collect()) == [1, 2, 3]
