@@ -51,9 +51,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """The benchmark texts in canonical form."""
-    rows = read(spark, d, "benchmark").select("idx", "reference", "translation").distinct()
-    return unicode_forms.normalise_columns(rows, ["reference", "translation"])
+    """The texts of benchmark (rec_id = idx) and llm_result (rec_id = result_id) in canonical form; benchmark has no extracted_text."""
+    texts = ["reference", "translation", "extracted_text"]
+    benchmark = read(spark, d, "benchmark").select(F.lit("benchmark").alias("tbl"), F.col("idx").alias("rec_id"), *texts[:2], F.lit(None).cast("string").alias(texts[2])).distinct()
+    results = read(spark, d, "llm_result").select(F.lit("llm_result").alias("tbl"), F.col("result_id").alias("rec_id"), *texts).distinct()
+    return unicode_forms.normalise_columns(benchmark.unionByName(results), texts)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

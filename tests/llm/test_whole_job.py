@@ -4,7 +4,7 @@ import unicodedata
 
 import pytest
 
-from palimpsest.llm import groups, leaks, unicode_forms
+from palimpsest.llm import groups, leaks, queries, unicode_forms
 
 
 RUSSIAN = "До особого распоряжения ремонтная мастерская исправляет сломанный насос, а вечером ночной поезд меняет маршрут у моста"
@@ -39,3 +39,14 @@ def test_disguised_rows_of_any_length(spark):
     rows = [(1, unicodedata.normalize("NFD", korean), korean), (2, "ﷺ " * 9, unicodedata.normalize("NFKC", "ﷺ " * 9)), (3, "…" * 40, "..." * 40), (4, unicodedata.normalize("NFD", korean), korean[:-9])]
     df = spark.createDataFrame(rows, "idx int, translation string, reference string")
     assert sorted(r.rec_id for r in unicode_forms.disguised_rows(df, "idx", "translation", "reference", "benchmark").collect()) == [1, 2, 3]
+
+
+def test_canonical_texts_of_both_tables(spark, tmp_path):
+    plain, other = "Café in Köln", unicodedata.normalize("NFD", "Café\u00a0in Köln")
+    spark.createDataFrame([(1, other, plain), (1, other, plain), (2, None, other)], "idx bigint, reference string, translation string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, other, other, other), (2, plain, None, other)], "result_id bigint, reference string, translation string, extracted_text string").write.parquet(f"{tmp_path}/llm_result.parquet")
+    got = {(r.tbl, r.rec_id): (r.reference, r.translation, r.extracted_text) for r in queries.p4_canonical(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("benchmark", 1): (plain, plain, None), ("benchmark", 2): (None, plain, None),
+        ("llm_result", 1): (plain, plain, plain), ("llm_result", 2): (plain, None, plain),
+    }
