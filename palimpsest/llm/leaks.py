@@ -30,7 +30,9 @@ from .unicode_forms import caseless, stable_form
 EXACT_WORDS, LOOSE_WORDS = 12, 15
 EXACT_HAN, LOOSE_HAN = 24, 30
 #: Lengths of q-grams; an item takes the longest that its shortest guaranteed run allows.
-Q_WORDS, Q_HAN = (20, 16, 12, 9), 9
+Q_WORDS, Q_HAN = (20, 16, 12, 9), 5
+#: Fewest q-grams of Chinese within the budget: an edit spoils at most q of them, and with ten more characters an edit comes in.
+LEAST_HAN = min(EXACT_HAN - Q_HAN + 1, LOOSE_HAN - Q_HAN + 1 - Q_HAN * (LOOSE_HAN // 10))
 BAND = 64
 #: Most held-out items a broadcast index is built of; more are answered in as many passes as needed.
 ITEMS_A_PASS = 5000
@@ -188,7 +190,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         word_at.append(word - word[0] if len(word) else word)
         if han:
             by_q.setdefault((Q_HAN, True), []).append(k)
-            threshold[k] = 3
+            threshold[k] = LEAST_HAN
             continue
         sizes = np.bincount(word_at[-1]).tolist() if len(word) else []
         for q in Q_WORDS:
@@ -225,6 +227,45 @@ def _holds(same: np.ndarray, exact: int, loose: int) -> bool:
     return bool((score[loose:] >= np.minimum.accumulate(score)[:-loose]).any())
 
 
+def _reach(left: list, right: list, most: int) -> list[int]:
+    """Characters of ``right`` that an alignment from the start of both gets through with 0, 1, ... ``most`` edits."""
+    far: dict[int, int] = {}
+    out = []
+    for edits in range(most + 1):
+        new: dict[int, int] = {}
+        for k in range(-edits, edits + 1):
+            j = 0 if not edits else max(far.get(k, -9) + 1, far.get(k - 1, -9), far.get(k + 1, -9) + 1)
+            j = min(j, len(right), len(left) - k)
+            if j < 0 or j + k < 0:
+                continue
+            while j < len(right) and j + k < len(left) and left[j + k] == right[j]:
+                j += 1
+            new[k] = j
+        far = new
+        out.append(max(far.values()))
+    return out
+
+
+def _holds_shifted(left: np.ndarray, right: np.ndarray, d: int) -> bool:
+    """A Chinese passage within the edit budget that has a q-gram on diagonal ``d``, also if a word was replaced by one of
+    another length. A longer passage has a part of under two ``LOOSE_HAN`` that is within the budget, so more edits than that
+    part may have need no look."""
+    a, b = max(0, d), max(0, -d)
+    size = min(len(left) - a, len(right) - b)
+    edges = np.flatnonzero(np.diff(np.r_[False, left[a : a + size] == right[b : b + size], False]))
+    most, room = 2 * LOOSE_HAN // 10 - 1, 3 * LOOSE_HAN
+    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if last - first < Q_HAN:
+            continue
+        i, j = a + first, b + first
+        back = _reach(left[max(0, i - room) : i][::-1].tolist(), right[max(0, j - room) : j][::-1].tolist(), most)
+        i, j = a + last, b + last
+        ahead = _reach(left[i : i + room].tolist(), right[j : j + room].tolist(), most)
+        if any(last - first + back[x] + ahead[y] >= max(LOOSE_HAN, 10 * (x + y)) for x in range(most + 1) for y in range(most + 1 - x)):
+            return True
+    return False
+
+
 def find(index: Index, texts: list[str]) -> list[tuple[int, int]]:
     """``(text number, item number)`` of every text that has a passage of an item."""
     s = stream(texts)
@@ -283,6 +324,8 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int]]:
             size = min(len(left) - a, len(right) - b)
             if size > 0 and _holds(left[a : a + size] == right[b : b + size], EXACT_HAN if part.han else EXACT_WORDS, LOOSE_HAN if part.han else LOOSE_WORDS):
                 out.add((number, which))
+            elif part.han and size > 0 and _holds_shifted(left, right, d):
+                out.add((number, which))
     return sorted(out)
 
 

@@ -50,3 +50,13 @@ def test_canonical_texts_of_both_tables(spark, tmp_path):
         ("benchmark", 1): (plain, plain, None), ("benchmark", 2): (None, plain, None),
         ("llm_result", 1): (plain, plain, plain), ("llm_result", 2): (plain, None, plain),
     }
+
+
+def test_chinese_leaks_with_scattered_or_shifted_replacements():
+    item = "".join(chr(0x4E00 + (k * 37) % 4001) for k in range(90))
+    part = item[20:50]
+    scattered = part[:7] + "甲" + part[8:15] + "乙" + part[16:23] + "丙" + part[24:]
+    longer = part[:11] + "甲乙丙" + part[13:]
+    four = part[:5] + "甲" + part[6:11] + "乙" + part[12:17] + "丙" + part[18:23] + "丁" + part[24:]
+    index = leaks.build_index([(1, item)])
+    assert leaks.find(index, [f"天地{t}人口" for t in (scattered, longer, four, part[:23], part[:24])]) == [(0, 0), (1, 0), (4, 0)]
