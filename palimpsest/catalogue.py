@@ -182,8 +182,8 @@ def noise_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def noise_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of a benchmark built from the whole clean sample with the stand-in provider, by split, label and category."""
-    return splits.benchmark_statistics(benchmark_build.build_benchmark(_read(spark, d, "clean_sample"), per_pair=None))
+    """Rows of a benchmark built from the whole clean sample with the stand-in provider."""
+    return benchmark_build.build_benchmark(_read(spark, d, "clean_sample"), per_pair=None)
 
 
 def span_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import unicodedata
 
 import pytest
 
+from palimpsest import catalogue
 from palimpsest.llm import groups, leaks, queries, unicode_forms
 
 
@@ -60,3 +61,11 @@ def test_chinese_leaks_with_scattered_or_shifted_replacements():
     four = part[:5] + "甲" + part[6:11] + "乙" + part[12:17] + "丙" + part[18:23] + "丁" + part[24:]
     index = leaks.build_index([(1, item)])
     assert leaks.find(index, [f"天地{t}人口" for t in (scattered, longer, four, part[:23], part[:24])]) == [(0, 0), (1, 0), (4, 0)]
+
+
+def test_noise_benchmark_gives_its_rows(spark, tmp_path):
+    rows = [(k, "en-de", f"The library keeps map {k}.", f"Die Bücherei behält Karte {k}.", "en", "de") for k in range(6)]
+    spark.createDataFrame(rows, "idx bigint, lp string, source string, reference string, src_lang string, tgt_lang string").write.parquet(f"{tmp_path}/clean_sample.parquet")
+    made = catalogue.noise_benchmark(spark, str(tmp_path)).collect()
+    assert len({r.id for r in made}) == len(made) == 24
+    assert {r.translation for r in made if r.label == 1} == {r[3] for r in rows} and all(r.translation for r in made if r.label == 0)
