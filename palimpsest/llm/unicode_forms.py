@@ -171,11 +171,12 @@ def normalise_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def looks_same(left: Column, right: Column) -> Column:
-    """True where two texts differ by code points and look the same. Null on either side gives false.
+    """True where two texts differ by code points and look the same, outer white space aside. Null on either side gives false.
 
-    All pairs are compared by their skeletons: no length tells readings apart, as a syllable may be three jamo and a
-    ligature stand for 18 characters."""
-    pair = F.struct(left.alias("a"), right.alias("b"))
+    Pairs of ASCII texts are compared in the JVM, all others by their skeletons: no length tells readings apart, as a
+    syllable may be three jamo and a ligature stand for 18 characters."""
+    plain = ~(left.rlike(r"[^\x00-\x7F]") | right.rlike(r"[^\x00-\x7F]"))
+    pair = F.when(~plain, F.struct(left.alias("a"), right.alias("b")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -192,8 +193,8 @@ def looks_same(left: Column, right: Column) -> Column:
                 index=batch.index,
             )
 
-    udf = F.pandas_udf(run, "boolean")
-    return udf(pair)
+    bare = lambda c: F.regexp_replace(c, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.coalesce(F.when(plain, (left != right) & (bare(left) == bare(right))).otherwise(F.pandas_udf(run, "boolean")(pair)), F.lit(False))
 
 
 def disguised_rows(df: DataFrame, key: str, text: str, reference: str, table: str) -> DataFrame:
@@ -205,6 +206,5 @@ def disguised_rows(df: DataFrame, key: str, text: str, reference: str, table: st
         F.col("a").isNotNull()
         & F.col("b").isNotNull()
         & (F.col("a") != F.col("b"))
-        & (F.col("a").rlike(r"[^\x00-\x7F]") | F.col("b").rlike(r"[^\x00-\x7F]"))
     )
     return near.where(looks_same(F.col("a"), F.col("b"))).select(F.lit(table).alias("tbl"), "rec_id").distinct()
