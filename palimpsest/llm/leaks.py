@@ -3,8 +3,10 @@
 The held-out items (a few hundred, the same number at every scale; the bound is checked) are turned into an index of
 character q-grams that every task gets; the corpus is read once, in place, without a shuffle. Per document the q-grams
 shared with an item are counted in overlapping diagonal bands. By the q-gram lemma a passage that meets the edit budget
-leaves at least a known number of shared q-grams in one band, so only regions with that many are kept, and those are
-verified by alignment along the word diagonals of the band. All of it is array work on whole texts.
+leaves at least a known number of shared q-grams in one band, so only regions with that many are kept. A kept region is
+verified by banded alignment: from each run of equal letters on a diagonal of the band the alignment goes on to both sides by
+whole words (characters of Chinese), with replaced, missing or added ones as edits, so it may leave the diagonal by a few words.
+Letters are aligned, not words: it does not matter where either text has its spaces or hyphens.
 
 Texts are compared by letters and digits in folded case, without accents, with look-alike letters mapped together, so
 case, punctuation, spacing, line breaks, markup and quote marks do not matter.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -34,8 +37,8 @@ Q_WORDS, Q_HAN = (20, 16, 12, 9), 5
 #: Fewest q-grams of Chinese within the budget: an edit spoils at most q of them, and with ten more characters an edit comes in.
 LEAST_HAN = min(EXACT_HAN - Q_HAN + 1, LOOSE_HAN - Q_HAN + 1 - Q_HAN * (LOOSE_HAN // 10))
 BAND = 64
-#: Most held-out items a broadcast index is built of; more are answered in as many passes as needed.
-ITEMS_A_PASS = 5000
+#: Most held-out items, and letters of them, that a broadcast index is built of; more are answered in as many passes as needed.
+ITEMS_A_PASS, LETTERS_A_PASS = 5000, 8_000_000
 #: Letters handled at once in a task (memory of the task; texts are never cut).
 CHUNK = 1_500_000
 
@@ -127,16 +130,19 @@ def _stir(h: np.ndarray) -> np.ndarray:
     return h * _MULTIPLIER
 
 
-def words_of(s: Stream, number: int) -> np.ndarray:
-    """Hash of each word of a text."""
+class Letters(NamedTuple):
+    """One text as it is aligned: codes, the same as a string, and the places where words begin, with the end."""
+
+    codes: np.ndarray
+    text: str
+    bounds: list[int]
+
+
+def letters_of(s: Stream, number: int) -> Letters:
     first, last = s.first[number], s.first[number + 1]
-    if first == last:
-        return np.zeros(0, dtype=np.uint64)
-    word = s.word[first:last]
-    starts = first + np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    ends = np.r_[starts[1:], last]
-    _, down = _powers(_room(len(s.letters)))
-    return _stir((s.prefix[ends] - s.prefix[starts]) * down[starts])
+    codes, word = s.letters[first:last], s.word[first:last]
+    bounds = [*np.flatnonzero(np.r_[True, word[1:] != word[:-1]]).tolist(), last - first] if len(word) else [0]
+    return Letters(codes, codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), bounds)
 
 
 class Part(NamedTuple):
@@ -153,8 +159,7 @@ class Part(NamedTuple):
 
 class Index(NamedTuple):
     ids: list[int]
-    units: list[np.ndarray]
-    word_at: list[np.ndarray]
+    items: list[Letters]
     threshold: np.ndarray
     parts: list[Part]
 
@@ -180,19 +185,16 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     texts = [text for _, text in items]
     s = stream(texts)
     by_q: dict[tuple[int, bool], list[int]] = {}
-    units, word_at = [], []
+    aligned = [letters_of(s, k) for k in range(len(items))]
     threshold = np.ones(len(items), dtype=np.int64)
     for k in range(len(items)):
-        first, last = s.first[k], s.first[k + 1]
-        letters, word = s.letters[first:last], s.word[first:last]
+        letters = aligned[k].codes
         han = bool(len(letters)) and float(((letters >= 0x3400) & (letters <= 0x9FFF)).mean()) > 0.5
-        units.append(letters if han else words_of(s, k))
-        word_at.append(word - word[0] if len(word) else word)
         if han:
             by_q.setdefault((Q_HAN, True), []).append(k)
             threshold[k] = LEAST_HAN
             continue
-        sizes = np.bincount(word_at[-1]).tolist() if len(word) else []
+        sizes = np.diff(aligned[k].bounds).tolist()
         for q in Q_WORDS:
             least = _least_hits(sizes, q, EXACT_WORDS, LOOSE_WORDS) if len(sizes) >= EXACT_WORDS else 1
             if least >= 8 or q == Q_WORDS[-1]:
@@ -211,20 +213,75 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         bitmap = np.zeros(1 << _BITS, dtype=bool)
         bitmap[(unique >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         parts.append(Part(q, han, unique, np.r_[start, len(order)], item[order], place[order], bitmap))
-    return Index([i for i, _ in items], units, word_at, threshold, parts)
+    return Index([i for i, _ in items], aligned, threshold, parts)
+
 
+def _runs(left: np.ndarray, right: np.ndarray, d: int, least: int) -> list[tuple[int, int]]:
+    """Runs of at least ``least`` equal letters on diagonal ``d``, as places of ``right``."""
+    a, b = max(0, d), max(0, -d)
+    size = min(len(left) - a, len(right) - b)
+    if size < least:
+        return []
+    edges = np.flatnonzero(np.diff(np.r_[False, left[a : a + size] == right[b : b + size], False]))
+    long = edges[1::2] - edges[::2] >= least
+    return list(zip((edges[::2][long] + b).tolist(), (edges[1::2][long] + b).tolist(), strict=True))
 
-def _holds(same: np.ndarray, exact: int, loose: int) -> bool:
-    """A run of ``exact`` equal units, or of ``loose`` with at most one in ten different, along a diagonal."""
-    if np.count_nonzero(same) < exact:
-        return False
-    wrong = np.flatnonzero(~same)
-    if not len(wrong) or max(int(wrong[0]), len(same) - 1 - int(wrong[-1])) >= exact or (len(wrong) > 1 and int((wrong[1:] - wrong[:-1]).max()) > exact):
-        return True
-    if len(same) < loose:
-        return False
-    score = np.r_[0, np.cumsum(np.where(same, 1, -9))]
-    return bool((score[loose:] >= np.minimum.accumulate(score)[:-loose]).any())
+
+def _reach_words(doc: Letters, item: Letters, i: int, p: int, ahead: bool, most: int) -> list[int]:
+    """Words of the item that an alignment from its word bound ``i`` and the document's letter ``p`` gets through with 0, 1, ...
+    ``most`` words replaced, missing or added. It ends where both have a word bound."""
+    n, out = len(item.bounds) - 1, []
+    states = {(i, p)}
+    for edits in range(most + 1):
+        if edits:
+            grown = set()
+            for k, at in states:
+                spot = bisect_left(doc.bounds, at) + (1 if ahead else -1)
+                more, j = (k < n if ahead else k > 0), k + (1 if ahead else -1)
+                if more:
+                    grown.add((j, at))
+                if 0 <= spot < len(doc.bounds):
+                    grown.add((k, doc.bounds[spot]))
+                    if more:
+                        grown.add((j, doc.bounds[spot]))
+            states = grown
+        slid = set()
+        for k, at in states:
+            kept = (k, at)
+            while k < n if ahead else k > 0:
+                first, last = (item.bounds[k], item.bounds[k + 1]) if ahead else (item.bounds[k - 1], item.bounds[k])
+                word = item.text[first:last]
+                if not (doc.text.startswith(word, at) if ahead else at >= len(word) and doc.text.startswith(word, at - len(word))):
+                    break
+                k, at = (k + 1, at + len(word)) if ahead else (k - 1, at - len(word))
+                spot = bisect_left(doc.bounds, at)
+                if spot < len(doc.bounds) and doc.bounds[spot] == at:
+                    kept = (k, at)
+            slid.add(kept)
+        states = slid
+        out.append(max((abs(k - i) for k, _ in states), default=0))
+    return out
+
+
+def _holds_words(doc: Letters, item: Letters, d: int, q: int) -> bool:
+    """A passage within the edit budget that has a q-gram on letter diagonal ``d``. A longer passage has a part of under two
+    ``LOOSE_WORDS`` that is within the budget, so more edits than that part may have need no look."""
+    most = 2 * LOOSE_WORDS // 10 - 1
+    for first, last in _runs(doc.codes, item.codes, d, q):
+        k, m = bisect_left(item.bounds, first), bisect_right(item.bounds, last) - 1
+        at_bound = lambda x: (y := bisect_left(doc.bounds, item.bounds[x] + d)) < len(doc.bounds) and doc.bounds[y] == item.bounds[x] + d
+        while k < m and not at_bound(k):
+            k += 1
+        while k < m and not at_bound(m):
+            m -= 1
+        if m - k >= EXACT_WORDS:
+            return True
+        if m > k:
+            back = _reach_words(doc, item, k, item.bounds[k] + d, False, most)
+            ahead = _reach_words(doc, item, m, item.bounds[m] + d, True, most)
+            if any(m - k + back[x] + ahead[y] >= max(LOOSE_WORDS, 10 * (x + y)) for x in range(most + 1) for y in range(most + 1 - x)):
+                return True
+    return False
 
 
 def _reach(left: list, right: list, most: int) -> list[int]:
@@ -246,21 +303,15 @@ def _reach(left: list, right: list, most: int) -> list[int]:
     return out
 
 
-def _holds_shifted(left: np.ndarray, right: np.ndarray, d: int) -> bool:
-    """A Chinese passage within the edit budget that has a q-gram on diagonal ``d``, also if a word was replaced by one of
-    another length. A longer passage has a part of under two ``LOOSE_HAN`` that is within the budget, so more edits than that
-    part may have need no look."""
-    a, b = max(0, d), max(0, -d)
-    size = min(len(left) - a, len(right) - b)
-    edges = np.flatnonzero(np.diff(np.r_[False, left[a : a + size] == right[b : b + size], False]))
+def _holds_han(left: np.ndarray, right: np.ndarray, d: int) -> bool:
+    """The same for Chinese: a run of ``EXACT_HAN`` characters, or a passage within the edit budget that has a q-gram on
+    diagonal ``d``, also if a word was replaced by one of another length."""
     most, room = 2 * LOOSE_HAN // 10 - 1, 3 * LOOSE_HAN
-    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        if last - first < Q_HAN:
-            continue
-        i, j = a + first, b + first
-        back = _reach(left[max(0, i - room) : i][::-1].tolist(), right[max(0, j - room) : j][::-1].tolist(), most)
-        i, j = a + last, b + last
-        ahead = _reach(left[i : i + room].tolist(), right[j : j + room].tolist(), most)
+    for first, last in _runs(left, right, d, Q_HAN):
+        if last - first >= EXACT_HAN:
+            return True
+        back = _reach(left[max(0, first + d - room) : first + d][::-1].tolist(), right[max(0, first - room) : first][::-1].tolist(), most)
+        ahead = _reach(left[last + d : last + d + room].tolist(), right[last : last + room].tolist(), most)
         if any(last - first + back[x] + ahead[y] >= max(LOOSE_HAN, 10 * (x + y)) for x in range(most + 1) for y in range(most + 1 - x)):
             return True
     return False
@@ -270,7 +321,7 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int]]:
     """``(text number, item number)`` of every text that has a passage of an item."""
     s = stream(texts)
     out: set[tuple[int, int]] = set()
-    doc_words: dict[int, np.ndarray] = {}
+    read: dict[int, Letters] = {}
     for part in index.parts:
         h = grams(s, part.q)
         if not len(h):
@@ -303,39 +354,28 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int]]:
         if not kept.any():
             continue
         pair, text, item, place, spot = pair[kept], text[kept], item[kept], place[kept], part.place[posting][kept]
-        if part.han:
-            line = (place - s.first[text]) - spot
-        else:
-            offsets = np.r_[0, np.cumsum([len(w) for w in index.word_at])]
-            flat = np.concatenate(index.word_at)
-            line = (s.word[place] - s.word[s.first[text]]) - flat[offsets[item] + spot]
+        line = (place - s.first[text]) - spot
         for k in np.unique(np.stack([pair, line]), axis=1).T:
             number, which = divmod(int(k[0]), len(index.ids))
             if (number, which) in out:
                 continue
-            if part.han:
-                left = s.letters[s.first[number] : s.first[number + 1]]
-            else:
-                left = doc_words.get(number)
-                if left is None:
-                    left = doc_words[number] = words_of(s, number)
-            right, d = index.units[which], int(k[1])
-            a, b = max(0, d), max(0, -d)
-            size = min(len(left) - a, len(right) - b)
-            if size > 0 and _holds(left[a : a + size] == right[b : b + size], EXACT_HAN if part.han else EXACT_WORDS, LOOSE_HAN if part.han else LOOSE_WORDS):
-                out.add((number, which))
-            elif part.han and size > 0 and _holds_shifted(left, right, d):
+            doc = read.get(number)
+            if doc is None:
+                doc = read[number] = letters_of(s, number)
+            item = index.items[which]
+            if _holds_han(doc.codes, item.codes, int(k[1])) if part.han else _holds_words(doc, item, int(k[1]), part.q):
                 out.add((number, which))
     return sorted(out)
 
 
 def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id)`` of every document with a passage of an item. Null and blank texts hold and are no passage;
-    repeated rows give one row. Items are collected in passes of ``ITEMS_A_PASS``, so the broadcast has a fixed bound."""
+    repeated rows give one row. Items are collected in passes of at most about ``ITEMS_A_PASS`` items and ``LETTERS_A_PASS``
+    characters, so the broadcast has a fixed bound."""
     spark = documents.sparkSession
     held = items.select(F.col(f"`{item_key}`").cast("bigint").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null and i is not null").distinct()
-    total = held.count()
-    passes = max(1, -(-total // ITEMS_A_PASS))
+    total = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("letters")).first()
+    passes = max(1, -(-total["n"] // ITEMS_A_PASS), -(-total["letters"] // LETTERS_A_PASS))
     source = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
     result = None
     for number in range(passes):
