@@ -1,14 +1,20 @@
 """Problem 3: prompt and response pairs that are of no use, with the kind of defect.
 
-A response is first read (:mod:`.answers`). Copies are found by aligning its words with the prompt's: five-word shingles
-contained both ways, then the longest common subsequence. Refusals are found by aligning its words with templates. A
-response cut off is judged by :mod:`.truncation`, one in another language by :mod:`.langcrf`. One defect a pair, in the
-order ``empty``, ``refusal``, ``truncated``, ``copied_source``, ``other_language``.
+A response is first read (:mod:`.answers`). Copies are found by aligning it with the prompt: five-word shingles contained both
+ways (where spaces differ or words are few, shingles of five letters), then the longest common subsequence. Refusals are found
+by aligning the whole response with templates: a template's words in their order, and most other words from the vocabulary
+of refusals. A response cut off is judged by :mod:`.truncation`, one in another language by :mod:`.langcrf`. One defect a
+pair, in the order ``empty``, ``refusal``, ``truncated``, ``copied_source``, ``other_language``.
+
+The chain labels only responses whose words, each looked at alone, give the target less than ``ALONE`` on the mean; the README
+has what that misses.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -17,16 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .answers import has_words, letters, read_answer
-from .langcrf import LABELS, Model, bare_words, passages, tokens
+from .langcrf import FUNCTION_WORDS, LABELS, Model, bare_words, has_han, passages, tokens
 from .storage import materialize
 from .tables import target_of_pair
-from .truncation import COMPLETE, EMPTY, judge_cut, reference_letters, tail_state
+from .truncation import COMPLETE, EMPTY, PART_TYPE, judge_cut, parts_if_open, reference_letters, tail_state
 from .unicode_forms import skeleton
 
 #: Words of a shingle and the least similarity of a copy.
 SHINGLE, LEAST_SHINGLES, LEAST_COMMON = 5, 0.8, 0.95
-#: A refusal says little else: longer responses are no refusals.
-REFUSAL_WORDS = 48
+#: Share of the words of a refusal (letters of text without spaces) that templates and vocabulary must cover.
+REFUSAL_COVER = 0.6
+#: Mean probability of the target from which words alone settle that a response is not foreign.
+ALONE = 0.4
 
 # Refusal templates. Each is a sequence of word choices that must occur in this order; ``*`` ends a stem.
 REFUSALS = (
@@ -57,37 +65,73 @@ REFUSAL_PIECES = (
     ("번역|도와|도움|제공|처리|답변", "수 없|수가 없|못|어렵|불가"),
     ("죄송|미안", "수 없|수가 없|못|어렵|불가"),
 )
+# What else a refusal speaks of. ``*`` ends a stem. Function words are those of the language lexicons.
+REFUSAL_WORDS = """
+    sorry apolog* unfortunately regret* afraid language model assistant ai translat* text* passage* content request* message sentence* material document* input
+    provided supplied given giv* submitted this another different else something anything instead other* need* want* like happy glad please try send share ask question* help assist*
+    support process* provid* comply continue fulfil* answer* respond response* decline* refus* rather allowed permitted able unable cannot possible willing comfortable
+    break violat* against rule* usage policy policies guideline* terms copyright* right* subject protect* harmful sensitive inappropriate offensive unsafe private personal
+    reason* contain* includ* may might because since due outside beyond falls scope abilities
+    désolé* regrette malheureusement traduire traduction texte* passage contenu demande phrase aide* répondre fournir autre* veuillez essayer modèle langage règles droits
+    leid entschuldig* leider bedauer* text* übersetz* inhalt* anfrage abschnitt sprachmodell hilfe helfen bitte ander* versuchen richtlinien regeln
+    siento lamento desafortunadamente traducir traducción texto* contenido solicitud pasaje ayudar* modelo lenguaje otro otra favor intente normas
+    dispiace purtroppo tradurre traduzione testo* contenuto richiesta brano aiutar* modello linguistico altro altra favore provi regole
+    desculp* lamento infelizmente traduzir tradução texto* conteúdo pedido trecho ajudar* modelo linguagem outro outra favor tente regras
+    przykro przepraszam niestety przetłumaczyć tłumaczyć tłumaczenia tekst* treść treści fragment* prośb* pomóc model językowy inny innego proszę spróbuj zasady
+    omlouvám bohužel lituji přeložit překládat překlad* text* obsah* žádost* úryvek pomoci pomoct model jazykový jiný jiného prosím zkuste pravidla
+    сожалению извините простите жаль перевести переводить перевод текст* содержание запрос* отрывок помочь модель языковая другой другое пожалуйста попробуйте правила
+    عذرا آسف أعتذر للأسف ترجمة ترجمته أترجم النص المحتوى الطلب المقطع مساعدة مساعدتك آخر يرجى نموذج لغوي
+    죄송* 미안* 글* 글은 텍스트* 문장* 내용* 요청* 번역* 도와* 도움* 제공* 처리* 답변* 없* 못* 어렵* 불가* 다른* 언어 모델*
+"""
+REFUSAL_HAN = "很抱歉|抱歉|对不起|很遗憾|遗憾|无法|不能|没办法|拒绝|不便|不会|翻译|提供|帮助|处理|回答|协助|完成|这段|该段|文字|文本|内容|请求|请|换|一段|其他|作为|语言模型|人工智能|您|你|我|的|这|为|给|因为|可能|违反|规定|规则|版权"
 _TEMPLATES = [[choice.split("|") for choice in line.split()] for line in REFUSALS]
 _CUES = {word.rstrip("*") for template in _TEMPLATES for word in template[0]}
 _PIECES = [[choice.split("|") for choice in line] for line in REFUSAL_PIECES]
+_ROUGH = {w for w in REFUSAL_WORDS.split() if not w.endswith("*")}
+_STEMS = tuple(w[:-1] for w in REFUSAL_WORDS.split() if w.endswith("*"))
+_HAN_PIECE = re.compile("|".join(sorted(REFUSAL_HAN.split("|"), key=len, reverse=True)))
 
 
 def _fits(word: str, choices: list[str]) -> bool:
     return any(word.startswith(c[:-1]) if c.endswith("*") else word == c for c in choices)
 
 
-def aligned(words: list[str], template: list[list[str]], slack: int = 6) -> bool:
-    """True if the template is a common subsequence of itself and the words, with at most ``slack`` words between parts."""
+def aligned(words: list[str], template: list[list[str]], slack: int = 6) -> list[int]:
+    """Places of the words that the template is aligned with, in order and with at most ``slack`` words between parts; none if
+    it cannot be."""
     for start, word in enumerate(words):
         if not _fits(word, template[0]):
             continue
-        at = start
+        places = [start]
         for choices in template[1:]:
+            at = places[-1]
             at = next((k for k in range(at + 1, min(len(words), at + 2 + slack)) if _fits(words[k], choices)), -1)
             if at < 0:
                 break
+            places.append(at)
         else:
-            return True
-    return False
+            return places
+    return []
+
+
+@lru_cache(maxsize=65536)
+def _spoken(word: str) -> int:
+    """1 for a word of the vocabulary of refusals, 0 for a function word, -1 for any other."""
+    if word in _ROUGH or word.startswith(_STEMS):
+        return 1
+    return 0 if word in FUNCTION_WORDS else -1
 
 
 def is_refusal(text: str, words: list[str]) -> bool:
-    """``text`` declines to answer and says little else."""
-    if len(words) > REFUSAL_WORDS or len(text) > 500:
-        return False
-    if any(w in _CUES for w in words) and any(aligned(words, t) for t in _TEMPLATES):
-        return True
-    if len(text) > 120 or text.isascii():
+    """``text`` declines to answer and does nothing else: a template can be aligned with it, and template and vocabulary cover
+    most of its words that are no function words, whatever its length."""
+    if any(w in _CUES for w in words):
+        places = {k for t in _TEMPLATES for k in aligned(words, t)}
+        if places:
+            spoken = [1 if k in places else _spoken(w) for k, w in enumerate(words)]
+            if spoken.count(1) >= REFUSAL_COVER * (spoken.count(1) + spoken.count(-1)):
+                return True
+    if text.isascii():
         return False
     for parts in _PIECES:
         at = 0
@@ -97,7 +141,13 @@ def is_refusal(text: str, words: list[str]) -> bool:
                 break
             at = min(ends)
         else:
-            return True
+            if has_han(parts[0][0]):
+                cover, size = sum(len(m) for m in _HAN_PIECE.findall(text)), sum(c.isalnum() for c in text)
+            else:
+                spoken = [_spoken(w) for w in words]
+                cover, size = spoken.count(1), spoken.count(1) + spoken.count(-1)
+            if cover >= REFUSAL_COVER * size:
+                return True
     return False
 
 
@@ -123,25 +173,35 @@ class Reading(NamedTuple):
         return cls(letters(skeleton(text) or ""), bare_words(text))
 
 
+def _shingles(sequence: list[str] | str) -> set:
+    return {tuple(sequence[i : i + SHINGLE]) for i in range(max(1, len(sequence) - SHINGLE + 1))}
+
+
+def _contained(a: list[str] | str, b: list[str] | str) -> bool:
+    """Shingles of each are contained in the other to the least share."""
+    left, right = _shingles(a), _shingles(b)
+    return len(left & right) >= LEAST_SHINGLES * max(len(left), len(right))
+
+
 def is_copy(answer: Reading, prompt: Reading) -> bool:
-    """The answer is the prompt and nothing else, whatever the case, spacing, characters or marks."""
-    if not answer.plain or not prompt.plain:
-        return False
-    if answer.plain == prompt.plain:
-        return True
-    longer, a, b = max(len(answer.plain), len(prompt.plain)), answer.words, prompt.words
-    if abs(len(answer.plain) - len(prompt.plain)) > 0.1 * longer or min(len(a), len(b)) < SHINGLE:
+    """The answer is the prompt and nothing else, whatever the case, spacing, characters or marks.
+
+    Words are aligned where there are enough of them; else, or where they are parted otherwise, letters are, and then all
+    letters must align. The tests before the alignment are necessary for it, so they lose nothing."""
+    a, b = answer.plain, prompt.plain
+    if not a or not b or abs(len(a) - len(b)) > (1 - LEAST_COMMON) * 2 * max(len(a), len(b)):
         return False
-    if 2 * len(set(a) & set(b)) < max(len(set(a)), len(set(b))):
-        return False  # then no five-word shingles of the needed share can be common
-    left, right = ({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} for w in (a, b))
-    if len(left & right) < LEAST_SHINGLES * max(len(left), len(right)):
+    u, v = answer.words, prompt.words
+    if min(len(u), len(v)) >= SHINGLE and 2 * len(set(u) & set(v)) >= max(len(set(u)), len(set(v))) and _contained(u, v):
+        return common_subsequence(u, v) >= LEAST_COMMON * max(len(u), len(v))
+    # letters that all align are as many of each kind
+    if len(a) != len(b) or any(a.count(c) != b.count(c) for c in a[:2] + a[-2:]):
         return False
-    return common_subsequence(a, b) >= LEAST_COMMON * max(len(a), len(b))
+    return _contained(a, b) and common_subsequence(list(a), list(b)) == len(a)
 
 
 def examine(df: DataFrame, table: str, key: str, prompt: str, response: str, model: Model, model_output: bool) -> DataFrame:
-    """``(tbl, rec_id, canon, state, defect)``: what one pass over the pairs can say; ``defect`` is null, ``empty``,
+    """``(tbl, rec_id, canon, state, parts, defect)``: what one pass over the pairs can say; ``defect`` is null, ``empty``,
     ``refusal``, ``copied_source`` or ``other_language``. Null responses are empty; null prompts are copied by nothing;
     an ``lp`` that names no pair makes no response foreign."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -153,7 +213,7 @@ def examine(df: DataFrame, table: str, key: str, prompt: str, response: str, mod
                 continue
             known: dict[tuple, int] = {}
             rows = []
-            canon, state, defect = [], [], []
+            canon, state, defect, parts = [], [], [], []
             asked_of: list[tuple[int, str, list[str], str]] = []
             read: dict[str | None, tuple] = {}
             prompts: dict[str, Reading] = {}
@@ -184,9 +244,10 @@ def examine(df: DataFrame, table: str, key: str, prompt: str, response: str, mod
                 canon.append(reading.plain)
                 state.append(ends)
                 defect.append(kind)
+                parts.append(parts_if_open(answer.text, ends) if kind is None or kind == "copied_source" else None)
             # words alone settle most; the chain labels the texts that do not look like the target's
             alone = crf.shares([w for _, _, w, _ in asked_of], [t for _, _, _, t in asked_of])
-            pending = [(number, target, tokens(text)) for (number, text, _, target), share in zip(asked_of, alone, strict=True) if share < 0.4]
+            pending = [(number, target, tokens(text)) for (number, text, _, target), share in zip(asked_of, alone, strict=True) if share < ALONE]
             for (number, target, cut), m in zip(pending, crf.marginals([c for _, _, c in pending]), strict=True):
                 found = passages(cut[0], m)
                 own = sum(p.words + p.han for p in found if p.language == target and (p.words >= 3 or p.han >= 5))
@@ -194,12 +255,12 @@ def examine(df: DataFrame, table: str, key: str, prompt: str, response: str, mod
                 if sure and not own:
                     defect[number] = "other_language"
             crf.trim()
-            yield pd.DataFrame({"rec_id": batch["rec_id"], "canon": [canon[r] for r in rows], "state": [state[r] for r in rows], "defect": [defect[r] for r in rows]})
+            yield pd.DataFrame({"rec_id": batch["rec_id"], "canon": [canon[r] for r in rows], "state": [state[r] for r in rows], "defect": [defect[r] for r in rows], "parts": [parts[r] for r in rows]})
 
     pairs = df.select(
         F.col(f"`{key}`").cast("bigint").alias("rec_id"), F.col(f"`{response}`").alias("raw"), F.col(f"`{prompt}`").alias("asked"), target_of_pair(F.col("lp")).alias("target")
     )
-    return pairs.mapInPandas(run, "rec_id bigint, canon string, state int, defect string").select(F.lit(table).alias("tbl"), "rec_id", "canon", "state", "defect")
+    return pairs.mapInPandas(run, f"rec_id bigint, canon string, state int, defect string, parts {PART_TYPE}").select(F.lit(table).alias("tbl"), "rec_id", "canon", "state", "parts", "defect")
 
 
 def defective_pairs(benchmark: DataFrame, llm_result: DataFrame, model: Model) -> DataFrame:
@@ -210,7 +271,7 @@ def defective_pairs(benchmark: DataFrame, llm_result: DataFrame, model: Model) -
         )
     )
     whole = materialize(reference_letters(benchmark.select("reference").union(benchmark.select("source"))))
-    cut = judge_cut(seen.where("defect is null or defect not in ('empty', 'refusal')").select("tbl", "rec_id", "canon", "state"), whole)
+    cut = judge_cut(seen.where("defect is null or defect not in ('empty', 'refusal')").select("tbl", "rec_id", "canon", "state", "parts"), whole)
     rank = F.expr("case defect when 'empty' then 1 when 'refusal' then 2 when 'truncated' then 3 when 'copied_source' then 4 else 5 end")
     kinds = seen.where("defect is not null").select("tbl", "rec_id", "defect").unionByName(cut.withColumn("defect", F.lit("truncated")))
     return kinds.withColumn("rank", rank).groupBy("tbl", "rec_id").agg(F.min_by("defect", "rank").alias("defect"))
