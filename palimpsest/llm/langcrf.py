@@ -74,8 +74,9 @@ _SCRIPTS = (
     ("han", 0x3400, 0x9FFF), ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7AF), ("arabic", 0x600, 0x6FF), ("arabic", 0xFB50, 0xFEFF),
     ("cyrillic", 0x400, 0x52F), ("greek", 0x370, 0x3FF), ("han", 0xF900, 0xFAFF),
 )
-_TOKEN = re.compile(r"[㐀-鿿豈-﫿]+|[^\W\d_㐀-鿿豈-﫿]+(?:['’][^\W\d_㐀-鿿豈-﫿]+)*")
-_HAN = re.compile(r"[㐀-鿿豈-﫿]")
+_TOKEN = re.compile(r"[㐀-鿿\uf900-\ufaff]+|[^\W\d_㐀-鿿\uf900-\ufaff]+(?:['’][^\W\d_㐀-鿿\uf900-\ufaff]+)*")
+_SPLIT = re.compile(f"({_TOKEN.pattern})")
+_HAN = re.compile(r"[㐀-鿿\uf900-\ufaff]")
 _BREAK = re.compile(r"[.!?:;。！？：；؟\n/|→•]|\s[-–—]\s")
 _TO_LATIN = {ord(k): v for k, v in LOOKALIKES.items() if v.isascii()}
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
@@ -83,6 +84,16 @@ _LEX: dict[str, list[str]] = {}
 for _code, _words in LEXICON.items():
     for _word in _words.split():
         _LEX.setdefault(_word, []).append(_code)
+FUNCTION_WORDS = frozenset(_LEX)
+
+
+def lexicon_codes(word: str) -> list[str]:
+    """Languages that have the word in their lexicon."""
+    return _LEX.get(word, [])
+
+
+def has_han(text: str) -> bool:
+    return _HAN.search(text) is not None
 
 
 def script_of(word: str) -> str:
@@ -93,16 +104,19 @@ def script_of(word: str) -> str:
     return "latin" if code < 0x250 or 0x1E00 <= code <= 0x1EFF else "other"
 
 
+@lru_cache(maxsize=8192)
+def _parts(gap: str) -> bool:
+    """Is there a boundary in what lies between two words?"""
+    return len(gap) > 1 and _BREAK.search(gap) is not None
+
+
 def tokens(text: str) -> tuple[list[str], list[bool]]:
     """Words in folded case, and whether a boundary lies before each."""
-    if not text.isascii():
-        text = stable_form(text) or ""
-    words, breaks, last = [], [], 0
-    for found in _TOKEN.finditer(text):
-        start = found.start()
-        breaks.append(last == 0 or (start - last > 1 and _BREAK.search(text, last, start) is not None))
-        words.append(found.group().lower())
-        last = found.end()
+    pieces = _SPLIT.split((text if text.isascii() else stable_form(text) or "").lower())
+    words = pieces[1::2]
+    breaks = [gap != " " and _parts(gap) for gap in pieces[:-1:2]]
+    if breaks:
+        breaks[0] = True
     return words, breaks
 
 
@@ -254,22 +268,23 @@ def passages(words: list[str], marginal: np.ndarray) -> list[Passage]:
     of the neighbour that is the more probable of the two for its words."""
     if not words:
         return []
+    n = len(words)
     best = marginal.argmax(axis=1)
-    edges = np.flatnonzero(np.diff(best)) + 1
-    if len(edges):
-        bounds = [0, *edges, len(words)]
-        for k in range(len(bounds) - 1):
+    bounds = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), n]
+    if len(bounds) > 2:
+        top = np.add.reduceat(marginal.max(axis=1), bounds[:-1]).tolist()
+        unsure = [k for k, total in enumerate(top) if total < SURE * (bounds[k + 1] - bounds[k])]
+        for k in unsure:
             first, last = bounds[k], bounds[k + 1]
-            if marginal[first:last, best[first]].mean() < SURE:
-                near = [int(best[j]) for j in (first - 1, last) if 0 <= j < len(words)]
-                best[first:last] = max(near, key=lambda label: float(marginal[first:last, label].mean()))
-    edges = np.flatnonzero(np.diff(best)) + 1
+            near = [int(best[j]) for j in (first - 1, last) if 0 <= j < n]
+            best[first:last] = max(near, key=lambda label: float(marginal[first:last, label].sum()))
+        if unsure:
+            bounds = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), n]
     out = []
-    for first, last in zip([0, *edges], [*edges, len(words)], strict=True):
+    for first, last in zip(bounds[:-1], bounds[1:], strict=True):
         label = int(best[first])
-        part = words[first:last]
-        han = sum(len(w) for w in part if _HAN.match(w))
-        out.append(Passage(LABELS[label], int(last - first), han, float(marginal[first:last, label].mean())))
+        han = sum(len(w) for w in words[first:last] if w[0] >= "\u3400" and _HAN.match(w))
+        out.append(Passage(LABELS[label], last - first, han, float(marginal[first:last, label].sum()) / (last - first)))
     return out
 
 
@@ -438,22 +453,23 @@ def label_passages(df: DataFrame, key: str, text: str, model: Model) -> DataFram
     return df.select(F.col(f"`{key}`").cast("bigint").alias("rec_id"), F.col(f"`{text}`").alias("text")).mapInPandas(run, f"rec_id bigint, passages {PASSAGE_TYPE}")
 
 
-def counted(passage_column: str = "p") -> F.Column:
-    p = F.col(passage_column)
-    return F.when(p["language"] == "zh", p["han"] >= PASSAGE_HAN).otherwise(p["words"] >= PASSAGE_WORDS)
-
-
 def mislabelled(benchmark: DataFrame, model: Model) -> DataFrame:
     """``(idx, lang)`` of every language a translation has a passage in and ``tgt_lang`` does not name. One row for repeated
-    rows; null and blank translations give none; a label that names no language is answered with every language."""
-    rows = benchmark.select("idx", "translation", label_language(F.col("tgt_lang")).alias("named")).distinct()
-    texts = rows.withColumn("key", F.xxhash64("idx", "translation", "named"))
-    found = label_passages(texts.where("translation is not null"), "key", "translation", model)
-    spread = found.select(F.col("rec_id").alias("key"), F.explode("passages").alias("p")).where(counted()).select("key", F.col("p.language").alias("lang")).distinct()
-    return (
-        texts.select("key", "idx", "named")
-        .join(spread, "key")
-        .where(F.col("named").isNull() | (F.col("named") != F.col("lang")))
-        .select(F.col("idx").cast("bigint").alias("idx"), "lang")
-        .distinct()
-    )
+    rows; null and blank translations give none; a label that names no language is answered with every language.
+
+    Rows are labelled where they are read; only the found languages are shuffled."""
+    shared = benchmark.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        crf = shared.value
+        for batch in batches:
+            distinct = list(dict.fromkeys(batch["translation"]))
+            cut = [tokens(t) for t in distinct]
+            found = {t: sorted({p.language for p in passages(words, m) if p.counts}) for t, (words, _), m in zip(distinct, cut, crf.marginals(cut), strict=True)}
+            crf.trim()
+            rows = [(idx, lang) for idx, t, named in zip(batch["idx"], batch["translation"], batch["named"], strict=True) for lang in found[t] if lang != named]
+            if rows:
+                yield pd.DataFrame(rows, columns=["idx", "lang"])
+
+    rows = benchmark.where("translation is not null and idx is not null").select(F.col("idx").cast("bigint").alias("idx"), "translation", label_language(F.col("tgt_lang")).alias("named"))
+    return rows.mapInPandas(run, "idx bigint, lang string").distinct()
