@@ -31,7 +31,7 @@ def test_lookalikes_are_closed_under_case():
 def test_same_text_in_any_case(spark):
     texts = ["Mekarome, the map of Townhall", "Мekarome, the map of Тownhall", "МЕKAROME, THE MAP OF ТOWNНALL", "mekarome,the map of townhall", "Mekarome, the map of Vownhall"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    keys = {r.k: r.h for r in df.select("k", groups.same_text_key(df.t).alias("h")).collect()}
+    keys = {r.k: r.h for r in df.select("k", groups.same_text_key(df.t)["key"].alias("h")).collect()}
     assert len({keys[k] for k in range(4)}) == 1 and keys[4] != keys[0]
 
 
