@@ -105,6 +105,11 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture_report(read(spark, d, "documents"), read(spark, d, "mix_target"))
 
 
+def p8_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the largest mixture in which every source with documents has its share."""
+    return mixing.mixture_report(read(spark, d, "documents"), read(spark, d, "mix_target"), exact=True)
+
+
 def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     """Documents and characters of each source in its plain spelling: what the budgets are set against."""
     return (
@@ -126,7 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_passages, p2_found, p2_reliability, p2_agreement, p3_found, p4_found, p4_canonical, p5_found, p5_report, p6_found,
-        p6_assignment, p7_found, p7_items, p8_mixture, p8_report, p8_sources, p9_found, p9_scores,
+        p6_assignment, p7_found, p7_items, p8_mixture, p8_report, p8_exact, p8_sources, p9_found, p9_scores,
     )
 }
 
