@@ -43,10 +43,8 @@ def label_colon(text: Column) -> Column:
     return F.exists(lines, labelled)
 
 
-def contains_explanation(translation: Column, reference: Column | None = None) -> Column:
-    """True for blank and null texts and for texts with an explanation, several sections, quotes around quotes, a label, or
-    more than twice the length of a long reference."""
-    text = strip(F.coalesce(translation, F.lit("")))
+def explained(text: Column, reference_length: Column | None = None) -> Column:
+    """:func:`contains_explanation` of a stripped text that is not null."""
     paragraphs = F.size(F.filter(F.split(text, "\n\n", -1), lambda p: strip(p) != ""))
     newlines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     quote = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
@@ -54,9 +52,15 @@ def contains_explanation(translation: Column, reference: Column | None = None) -
     ends = text.endswith('"') | text.endswith("'")
     quoted = starts & ends & (F.length(text) > QUOTED) & ((quote('"') > 2) | (quote("'") > 2))
     rule = (text == "") | (newlines > NEWLINES) | (paragraphs > PARAGRAPHS) | quoted | label_colon(text)
-    if reference is not None:
-        known = F.length(strip(F.coalesce(reference, F.lit(""))))
-        rule = rule | ((known > LONG_REFERENCE) & (F.length(text) > LENGTH_RATIO * known))
+    if reference_length is not None:
+        rule = rule | ((reference_length > LONG_REFERENCE) & (F.length(text) > LENGTH_RATIO * reference_length))
     for pattern in EXPLANATION_PATTERNS:
         rule = rule | text.rlike(_FLAGS + pattern)
     return rule
+
+
+def contains_explanation(translation: Column, reference: Column | None = None) -> Column:
+    """True for blank and null texts and for texts with an explanation, several sections, quotes around quotes, a label, or
+    more than twice the length of a long reference."""
+    known = None if reference is None else F.length(strip(F.coalesce(reference, F.lit(""))))
+    return explained(strip(F.coalesce(translation, F.lit(""))), known)

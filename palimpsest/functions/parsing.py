@@ -15,6 +15,7 @@ from .text import strip
 
 KEY = "extracted_translation"
 RESULT_TYPE = "struct<extracted:string,noise_pattern:string>"
+# The patterns and, in the readers below, the order they are tried in.
 _FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
 _FOLLOWED = re.compile(rf'"{KEY}"\s*:\s*"((?:[^"\\]|\\.)*)"\s*[,\n]?\s*"noise_pattern', re.S)
 _OTHER_QUOTES = re.compile(rf'"{KEY}"\s*:\s*["„“«](.*?)["”“»]\s*[,\n]?\s*"noise_pattern', re.S)
@@ -22,6 +23,8 @@ _TO_NEXT_LINE = re.compile(rf'"{KEY}"\s*:\s*(.+?),?\s*\n\s*"noise_pattern', re.S
 _PATTERN = re.compile(r'"noise_pattern"\s*:\s*"([^"]*)"')
 _EMBEDDED = re.compile(rf'\{{[^{{}}]*"{KEY}"[^{{}}]*\}}', re.S)
 _QUOTES = '"„“”«»'
+_THINK_BLOCK = re.compile(r"<think>.*?</think>", re.S)
+_THINK_LEAD = re.compile(r"^(thinking|reasoning|analysis):?\s*\n.*?\n\n(?=\{)", re.S | re.I)
 _THINKING_HEAD = re.compile(r"(?:Thinking Process|思考过程|Thought Process|My Thinking)[:\s]", re.I)
 
 
@@ -63,8 +66,8 @@ def read_silver(text: str | None) -> tuple[str | None, str | None]:
     """Extraction of an annotator's response; null where there is no object with the field."""
     if text is None:
         return None, None
-    bare = re.sub(r"<think>.*?</think>", "", text, flags=re.S).strip()
-    bare = re.sub(r"(?is)^(thinking|reasoning|analysis):?\s*\n.*?\n\n(?=\{)", "", bare).strip()
+    bare = _THINK_BLOCK.sub("", text).strip()
+    bare = _THINK_LEAD.sub("", bare).strip()
     fenced, embedded = _FENCED.search(bare), _EMBEDDED.search(bare)
     for candidate in (fenced[1] if fenced else None, bare, embedded[0] if embedded else None):
         parsed = _load(candidate) if candidate is not None else None
@@ -116,9 +119,3 @@ def parse_extractor(text: Column, translation: Column) -> Column:
     whole = F.length(strip(F.coalesce(translation, F.lit(""))))
     share = F.when(whole > 0, F.length(read["extracted"]) / whole).otherwise(1.0)
     return F.struct(read["extracted"].alias("extracted_text"), read["noise_pattern"].alias("predicted_noise_pattern"), share.alias("coverage"), strip(text).alias("raw_llm_output"))
-
-
-def extracted_text(best_span: Column | None, stored: Column | None) -> Column:
-    """The extraction of a result row: its best span if it has one, else the parsed stored text."""
-    choices = [c for c in (best_span, None if stored is None else parse_result(stored)["extracted"]) if c is not None]
-    return F.coalesce(*choices) if choices else F.lit(None).cast("string")

@@ -31,10 +31,16 @@ NOISE_SYSTEMS: dict[str, str] = {
     "wrong_language": "You translate into the wrong language without saying so. Answer with the output only.",
     "off_topic": "You answer something that was not asked. Answer with the output only.",
 }
-EXAMPLES: tuple[tuple[str, str], ...] = (
-    ("Source: The gate is closed.\nTranslation: La porte est fermée.", "La porte est fermée.\n\nThe verb is in the passive as in the source."),
-    ("Source: Tomorrow it rains.\nTranslation: Morgen regnet es.", "Morgen regnet es.\n\nAlso possible: Es regnet morgen."),
-)
+#: One worked example of each kind of content noise.
+EXAMPLES: dict[str, tuple[str, str]] = {
+    "explanation": ("English source: The gate is closed.\nFrench translation: La porte est fermée.", "La porte est fermée.\n\nThe verb is in the passive as in the source."),
+    "cultural_note": ("English source: They drank mate.\nGerman translation: Sie tranken Mate.", "Sie tranken Mate.\n\nMate is an infusion that is shared in company."),
+    "bilingual_output": ("English source: Tomorrow it rains.\nGerman translation: Morgen regnet es.", "Tomorrow it rains.\nMorgen regnet es."),
+    "alternatives": ("English source: Tomorrow it rains.\nGerman translation: Morgen regnet es.", "Morgen regnet es.\n\nAlso possible: Es regnet morgen."),
+    "verbose_preamble": ("English source: Good night.\nItalian translation: Buona notte.", "Of course, I put this into Italian with pleasure:\n\nBuona notte."),
+    "wrong_language": ("English source: The train is late.\nGerman translation: Der Zug hat Verspätung.", "El tren llega tarde."),
+    "off_topic": ("English source: The shop opens at nine.\nFrench translation: Le magasin ouvre à neuf heures.", "Les pommiers fleurissent au printemps."),
+}
 
 
 def language_name(code: Column) -> Column:
@@ -56,13 +62,20 @@ def chat(system: Column, prompt: Column) -> Column:
 
 
 def noise_messages(pattern: Column, source: Column, clean: Column, src_lang: Column, tgt_lang: Column) -> Column:
-    """System message, two worked examples and the request of a noise pattern; null for a pattern without request."""
+    """System message, worked examples and the request of a noise pattern; null for a pattern without request only: a null
+    language is English or Chinese, as in the rules, and a null text is empty."""
+    source, clean = F.coalesce(source, F.lit("")), F.coalesce(clean, F.lit(""))
+    src_lang, tgt_lang = F.coalesce(src_lang, F.lit("en")), F.coalesce(tgt_lang, F.lit("zh"))
     ask = F.create_map(*[F.lit(x) for pair in NOISE_REQUESTS.items() for x in pair])
     own = F.create_map(*[F.lit(x) for pair in NOISE_SYSTEMS.items() for x in pair])
     request = F.concat(F.try_element_at(ask, pattern), F.lit("\n"), language_name(src_lang), F.lit(" source: "), source, F.lit("\n"), language_name(tgt_lang), F.lit(" translation: "), clean)
     system = F.coalesce(F.try_element_at(own, pattern), F.lit(SYSTEM_NOISE))
-    shots = [m for asked, said in EXAMPLES for m in (_message("user", F.lit(asked)), _message("assistant", F.lit(said)))]
-    return F.when(request.isNotNull(), F.array(_message("system", system), *shots, _message("user", request)))
+    shots = F.create_map(*[x for name, (asked, said) in EXAMPLES.items() for x in (F.lit(name), F.array(_message("user", F.lit(asked)), _message("assistant", F.lit(said))))])
+    return F.when(request.isNotNull(), F.concat(F.array(_message("system", system)), F.try_element_at(shots, pattern), F.array(_message("user", request))))
+
+
+# The marks put where a text was cut.
+SHORT_MARK, LONG_MARK = " [... truncated ...]", "\n[... truncated ...]"
 
 
 def _cut(text: Column, limit: int, mark: str) -> Column:
@@ -77,7 +90,7 @@ def silver_prompt(translation: Column, source: Column, reference: Column, src_la
         "\n",
         F.concat(F.lit("Languages: "), F.coalesce(src_lang, F.lit("?")), F.lit(" to "), F.coalesce(tgt_lang, F.lit("?"))),
         F.concat(F.lit("Noise: "), kinds),
-        F.concat(F.lit("Source: "), _cut(source, SOURCE_LIMIT, " [... truncated ...]")),
-        F.concat(F.lit("Reference: "), _cut(reference, REFERENCE_LIMIT, " [... truncated ...]")),
-        F.concat(F.lit("Output: "), _cut(translation, TRANSLATION_LIMIT, "\n[... truncated ...]")),
+        F.concat(F.lit("Source: "), _cut(source, SOURCE_LIMIT, SHORT_MARK)),
+        F.concat(F.lit("Reference: "), _cut(reference, REFERENCE_LIMIT, SHORT_MARK)),
+        F.concat(F.lit("Output: "), _cut(translation, TRANSLATION_LIMIT, LONG_MARK)),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import WHITE_SPACE, strip
 
 # Code-point ranges of the scripts, in the order they are tried.
 SCRIPT_RANGES = {
@@ -25,7 +25,6 @@ LANGUAGE_SCRIPTS = {
     "en": ("LATIN",), "fr": ("LATIN",), "it": ("LATIN",), "de": ("LATIN",), "cs": ("LATIN",), "pl": ("LATIN",), "ru": ("CYRILLIC",),
     "ar": ("ARABIC",), "zh": ("HAN", "CJK"), "ko": ("HANGUL", "HAN", "CJK"), "ta": ("TAMIL",), "he": ("HEBREW",), "km": ("KHMER",),
 }
-_SPACE = r"(?U)[\s\x1c-\x1f]"
 LEAST_SHARE, EXPECTED_SHARE, MOST_SCRIPTS, SHORT = 0.03, 0.6, 2, 10
 #: With a language model: least confidence for short and long texts, the length that parts them, and the floor of doubt.
 SURE_SHORT, SURE_LONG, SHORT_FOR_MODEL, DOUBT, SHARE_IN_DOUBT = 0.7, 0.5, 20, 0.3, 0.05
@@ -35,13 +34,17 @@ def _count(text: Column, name: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{SCRIPT_RANGES[name]}]", ""))
 
 
-def script_shares(text: Column, least: float = LEAST_SHARE) -> Column:
-    """``map<script, share>`` of the characters that are no white space; shares below ``least`` are left out. Characters of no
-    known script count in the whole only. Empty and null texts have an empty map."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), _SPACE, "")
+def all_shares(bare: Column) -> Column:
+    """``map<script, share>`` of the scripts of a text without white space. Characters of no known script count in the whole only."""
     whole = F.length(bare)
     entries = [F.struct(F.lit(name).alias("k"), F.when(whole > 0, _count(bare, name) / whole).otherwise(0.0).alias("v")) for name in SCRIPT_RANGES]
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: (e["v"] >= least) & (e["v"] > 0)))
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"] > 0))
+
+
+def script_shares(text: Column, least: float = LEAST_SHARE) -> Column:
+    """``map<script, share>`` of the characters that are no white space; shares below ``least`` are left out. Empty and null texts
+    have an empty map."""
+    return F.map_filter(all_shares(bare_text(text)), lambda _, v: v >= least)
 
 
 def character_script(char: Column) -> Column:
@@ -63,42 +66,35 @@ def _share_of(shares: Column, names: Column) -> Column:
     return F.aggregate(F.transform(names, lambda n: F.coalesce(F.try_element_at(shares, n), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
 
 
-def is_correct_language(text: Column, language: Column, detected: Column | None = None, confidence: Column | None = None) -> Column:
-    """Is the text written in the language? Null and empty text or language: false.
+def bare_text(text: Column) -> Column:
+    """The characters that are no white space; null has none."""
+    return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
-    ``detected`` and ``confidence`` are a language model's answer, if there is one; without it, or below the floor of its
-    confidence, scripts decide: unknown languages pass, a text without any script passes if it is short, the expected scripts
-    need most of the text, and more than two scripts fail."""
-    shares = script_shares(text)
-    names = F.map_keys(shares)
+
+def language_verdict(text: Column, language: Column, shares: Column, detected: Column | None = None, confidence: Column | None = None) -> Column:
+    """:func:`is_correct_language` with the text's ``shares`` (of any size, see :func:`all_shares`) at hand."""
+    large = lambda least: F.map_filter(shares, lambda _, v: v >= least)
+    names = F.map_keys(large(LEAST_SHARE))
     wanted = _expected(language)
     by_script = (
         F.when(wanted.isNull(), True)
         .when(F.size(names) == 0, F.length(strip(text)) < SHORT)
-        .when(_share_of(shares, wanted) < EXPECTED_SHARE, False)
+        .when(_share_of(large(LEAST_SHARE), wanted) < EXPECTED_SHARE, False)
         .otherwise(F.size(names) <= MOST_SCRIPTS)
     )
     verdict = by_script
     if detected is not None and confidence is not None:
         sure = F.when(F.length(strip(text)) < SHORT_FOR_MODEL, SURE_SHORT).otherwise(SURE_LONG)
-        in_doubt = F.when(wanted.isNotNull() & (_share_of(script_shares(text, SHARE_IN_DOUBT), wanted) >= EXPECTED_SHARE), True).otherwise(detected == language)
+        in_doubt = F.when(wanted.isNotNull() & (_share_of(large(SHARE_IN_DOUBT), wanted) >= EXPECTED_SHARE), True).otherwise(detected == language)
         verdict = F.when(detected.isNotNull() & (confidence >= sure), detected == language).when(detected.isNotNull() & (confidence >= DOUBT), in_doubt).otherwise(by_script)
     empty = text.isNull() | (text == "") | language.isNull() | (language == "")
     return F.when(empty, False).otherwise(verdict)
 
 
-def classify_translation(translation: Column, reference: Column, language: Column, detected: Column | None = None, confidence: Column | None = None) -> Column:
-    """``struct(label, has_explanation, wrong_language, detected_lang, confidence)``; label 1 is clean. Without a target
-    language the language is not tested."""
-    from .explanations import contains_explanation
-
-    explained = contains_explanation(translation, reference)
-    asked = language.isNotNull() & (language != "")
-    wrong = asked & ~is_correct_language(translation, language, detected, confidence)
-    return F.struct(
-        F.when(explained | wrong, 0).otherwise(1).alias("label"),
-        explained.alias("has_explanation"),
-        wrong.alias("wrong_language"),
-        (detected if detected is not None else F.lit(None).cast("string")).alias("detected_lang"),
-        (confidence if confidence is not None else F.lit(0.0)).alias("confidence"),
-    )
+def is_correct_language(text: Column, language: Column, detected: Column | None = None, confidence: Column | None = None) -> Column:
+    """Is the text written in the language? Null and empty text or language: false.
+
+    ``detected`` and ``confidence`` are a language model's answer, if there is one; without it, or below the floor of its
+    confidence, scripts decide: unknown languages pass, a text without any script passes if it is short, the expected scripts
+    need most of the text, and more than two scripts fail."""
+    return language_verdict(text, language, all_shares(bare_text(text)), detected, confidence)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import coverage, is_exact_match, noise_category, normalize_text, strip
+from ..functions.text import is_exact_match, noise_category, normalize_text, strip
 
 SYNTHETIC_CATEGORIES = ("formatting", "content", "explanation", "combo", "clean")
 
@@ -34,13 +34,19 @@ def binary_metrics(df: DataFrame, gold: str, pred: str, keys: list[str] | None =
     return _rates(df.groupBy(*keys).agg(*_counts(F.col(gold), F.col(pred))), keys)
 
 
+def _levels(df: DataFrame, keys: list[str], category: str, values: list[str], whole: bool) -> DataFrame:
+    """A narrow row for each level an instance counts in: its category, ``noisy_only`` if that is not ``clean``, and ``all``."""
+    own = F.coalesce(F.col(category), F.lit("unknown"))
+    levels = [own, F.when(own != "clean", "noisy_only"), *([F.lit("all")] if whole else [])]
+    return df.select(*keys, *values, F.explode(F.array_compact(F.array(*levels))).alias("category"))
+
+
 def category_breakdown(df: DataFrame, gold: str, pred: str, category: str, keys: list[str] | None = None) -> DataFrame:
-    """:func:`binary_metrics` by category, with a row ``noisy_only`` over all categories but ``clean``. The second level sums
-    the first, so the instances are shuffled once."""
+    """:func:`binary_metrics` by category, with a row ``noisy_only`` over all categories but ``clean``. Each instance is counted
+    in both levels by one pre-aggregated group-by."""
     keys = keys or []
-    by = df.withColumn("category", F.coalesce(F.col(category), F.lit("unknown"))).groupBy(*keys, "category").agg(*_counts(F.col(gold), F.col(pred)))
-    noisy = by.where("category <> 'clean'").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "total")]).withColumn("category", F.lit("noisy_only"))
-    return _rates(by.unionByName(noisy), [*keys, "category"])
+    by = _levels(df, keys, category, [gold, pred], False).groupBy(*keys, "category").agg(*_counts(F.col(gold), F.col(pred)))
+    return _rates(by, [*keys, "category"])
 
 
 def detection_prediction(extracted: Column, original: Column) -> Column:
@@ -57,17 +63,14 @@ def extraction_match(extracted: Column, truth: Column) -> Column:
 def extraction_metrics(df: DataFrame, match: str, category: str, keys: list[str] | None = None) -> DataFrame:
     """``accuracy, correct, total`` over all instances (category ``all``), by category and ``noisy_only``."""
     keys = keys or []
-    by = df.withColumn("category", F.coalesce(F.col(category), F.lit("unknown"))).groupBy(*keys, "category").agg(F.sum(F.col(match).cast("bigint")).alias("correct"), F.count(F.lit(1)).alias("total"))
-    sums = [F.sum("correct").alias("correct"), F.sum("total").alias("total")]
-    whole = by.groupBy(*keys).agg(*sums).withColumn("category", F.lit("all"))
-    noisy = by.where("category <> 'clean'").groupBy(*keys).agg(*sums).withColumn("category", F.lit("noisy_only"))
-    return by.unionByName(whole).unionByName(noisy).select(*keys, "category", "correct", "total", ratio(F.col("correct"), F.col("total")).alias("accuracy"))
+    by = _levels(df, keys, category, [match], True).groupBy(*keys, "category").agg(F.sum(F.col(match).cast("bigint")).alias("correct"), F.count(F.lit(1)).alias("total"))
+    return by.select(*keys, "category", "correct", "total", ratio(F.col("correct"), F.col("total")).alias("accuracy"))
 
 
-def mean_coverage(df: DataFrame, extracted: str, original: str, keys: list[str] | None = None) -> DataFrame:
-    """Mean coverage over the instances with an extraction."""
+def mean_coverage(df: DataFrame, cover: str, keys: list[str] | None = None) -> DataFrame:
+    """Mean coverage over the instances with an extraction, that is with a value of ``cover``."""
     keys = keys or []
-    return df.where(F.col(extracted).isNotNull()).groupBy(*keys).agg(F.avg(coverage(F.col(extracted), F.col(original))).alias("avg_coverage"))
+    return df.where(F.col(cover).isNotNull()).groupBy(*keys).agg(F.avg(cover).alias("avg_coverage"))
 
 
 def _noisy(df: DataFrame, is_noisy: str) -> DataFrame:
@@ -117,3 +120,8 @@ def truth_column(df: DataFrame, mode: str) -> str | None:
     if mode == "synthetic":
         return "gold_clean" if "gold_clean" in df.columns else "reference"
     return "silver_reference" if "silver_reference" in df.columns else None
+
+
+def category_column(df: DataFrame) -> str | None:
+    """The column that names an instance's category: ``noise_category``, else ``perturbation_type``, else none."""
+    return next((c for c in ("noise_category", "perturbation_type") if c in df.columns), None)

@@ -48,6 +48,7 @@ def _one_of(key: Column, choices: list[Column]) -> Column:
     return choices[-1] if out is None else out.otherwise(choices[-1])
 
 
+# The wordings of the rules below.
 def language_prefix(text: Column, src_lang: Column, tgt_lang: Column, source: Column, key: Column) -> Column:
     return F.concat(language_name(tgt_lang), F.lit(": "), text)
 
@@ -127,15 +128,26 @@ def variants(clean: DataFrame, key: str = "idx", seed: int = 42) -> DataFrame:
 
 def fill_content(rows: DataFrame, content: Column, key: str = "idx", seed: int = 42) -> DataFrame:
     """``rows`` of :func:`variants` with the provider's ``content`` put in, wrapped for combo. A failed answer becomes the
-    preamble rule under its own pattern name."""
+    preamble rule under its own pattern name. Missing languages and sources are those of :func:`apply_rule`."""
     tag = F.concat(F.lit(f"{seed}|rule|"), F.col(key).cast("string"))
     args = (F.col("src_lang"), F.col("tgt_lang"), F.col("source"), tag)
-    text = F.coalesce(content, verbose_preamble(clean_text(rows), *args))
+    text = F.coalesce(content, apply_rule(F.lit("verbose_preamble"), clean_text(rows), *args))
     made = F.when(F.col("variant") == 1, text).when(F.col("variant") == 2, apply_rule(F.col("format_pattern"), text, *args)).otherwise(F.col("noisy_translation"))
     failed = content.isNull() & (F.col("variant") == 1)
     return rows.withColumns({"noisy_translation": made, "noise_pattern": F.when(failed, FAILED_PATTERN).otherwise(F.col("noise_pattern"))})
 
 
+def single(clean: DataFrame, allowed: list[str] | None = None, rules_only: bool = False, key: str = "idx", seed: int = 42) -> DataFrame:
+    """One row a record with one pattern drawn by weight among ``allowed`` (default: all), or among its rule-based ones only.
+    ``noisy_translation`` is null where a provider has to make it. An unknown pattern is an error."""
+    names = [p for p in (allowed or list(ALL_WEIGHTS)) if not rules_only or p in RULES]
+    if not names or any(p not in ALL_WEIGHTS for p in names):
+        raise ValueError(f"no such patterns: {names}")
+    tag = lambda what: F.concat(F.lit(f"{seed}|{what}|"), F.col(key).cast("string"))
+    drawn = clean.withColumn("noise_pattern", pick_pattern(tag("single"), names))
+    return drawn.withColumn("noisy_translation", apply_rule(F.col("noise_pattern"), clean_text(clean), F.col("src_lang"), F.col("tgt_lang"), F.col("source"), tag("rule")))
+
+
 def pattern_distribution(df: DataFrame, column: str) -> DataFrame:
     """``value, n, share`` by falling count, then name."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))

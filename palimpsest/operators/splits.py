@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PATTERN_CATEGORY
+from .ordering import hex_bucket, number_bucket, running_sum
 
 
 def ordinals(df: DataFrame, group: str, order: str, out: str = "ordinal") -> DataFrame:
-    """0-based place of each row within its group."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+    """0-based place of each row within its group by a whole number; rows with the same number are in the order of their columns."""
+    ties = [F.col(c) for c, t in df.dtypes if c not in (group, order) and not t.startswith("map")]
+    return running_sum(df, [group], number_bucket(df, order), [F.col(order), *ties], F.lit(1), out)
 
 
 def stratified_split(df: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:
     """``df`` with ``split``: per group, in hash order, the first half (rounded down) is dev, the rest test."""
-    order = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)
-    whole = Window.partitionBy(group)
-    return df.withColumn("split", F.when(F.row_number().over(order) <= F.floor(F.count(F.lit(1)).over(whole) / 2), "dev").otherwise("test"))
+    keyed = df.drop("split").withColumn("_digest", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
+    placed = running_sum(keyed, [group], hex_bucket(F.col("_digest")), [F.col("_digest"), F.col(key)], F.lit(1), "_place", "_size")
+    return placed.withColumn("split", F.when(F.col("_place") < F.floor(F.col("_size") / 2), "dev").otherwise("test")).drop("_digest", "_place", "_size")
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -46,7 +47,3 @@ def benchmark_rows(clean: DataFrame, noisy: DataFrame) -> DataFrame:
 def benchmark_statistics(df: DataFrame) -> DataFrame:
     """``split, label, noise_category, n, n_lp``."""
     return df.groupBy("split", "label", "noise_category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lp").alias("n_lp"))
-
-
-def known_pattern(pattern: Column) -> Column:
-    return pattern.isin(*PATTERN_CATEGORY)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_scratch: list[tuple[SparkSession, str]] = []
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -37,6 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="palimpsest-ckpt-")
+        atexit.register(shutil.rmtree, configured, True)
     context.setCheckpointDir(configured)
     return configured
 
@@ -47,5 +55,41 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder. What is written there is removed when the driver's Python ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/palimpsest-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def _remove_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            location = spark._jvm.org.apache.hadoop.fs.Path(path)
+            location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; the folder is then the cluster's to clean
+            pass
+    _scratch.clear()
+
+
+atexit.register(_remove_scratch)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read back: a table that two consumers need is made once, and a
+    lost executor costs a read instead of the lineage. Columns, types and rows are the same."""
+    path = scratch_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def barrier(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with the columns computed once a row, however often they are used after it. A plain projection may be merged into
+    its consumers, which then compute it again for each use; a generator of one row is not."""
+    names = list(columns)
+    made = F.inline(F.array(F.struct(*[columns[n].alias(n) for n in names])))
+    return df.select(*[c for c in df.columns if c not in names], made.alias(*names) if len(names) > 1 else made.alias(names[0]))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
