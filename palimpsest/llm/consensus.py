@@ -24,8 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .storage import materialize
+from ..session import cut_lineage, materialize
 
 ROUNDS = 8
 #: Prior counts of the outcomes: for a true text (right, none, wrong), for a true none (right, text), for the class shares.

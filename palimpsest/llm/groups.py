@@ -16,9 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_width
-from .ordering import prefix_sums
-from .storage import materialize
+from ..operators.ordering import prefix_sums
+from ..session import cut_lineage, materialize, shuffle_width
 from .unicode_forms import caseless_skeleton
 
 #: Most neighbours of a node: one with more is split into nodes of so many, linked to it.

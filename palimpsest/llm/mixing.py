@@ -19,8 +19,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import prefix_sums
-from .storage import materialize
+from ..operators.ordering import prefix_sums
+from ..session import materialize
 from .tables import plain_source
 
 #: Vocabulary of a public tokenizer (byte-pair ranks); a file of the driver, which ships it to the executors.

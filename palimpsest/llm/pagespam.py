@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .langcrf import FUNCTION_WORDS, lexicon_codes
-from .storage import materialize
 
 #: Characters of a block; a longer line is cut at white space.
 BLOCK, LONG_LINE = 320, 640

@@ -22,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .answers import has_words, letters, read_answer
 from .langcrf import FUNCTION_WORDS, LABELS, Model, bare_words, has_han, passages, tokens
-from .storage import materialize
 from .tables import target_of_pair
 from .truncation import COMPLETE, EMPTY, PART_TYPE, judge_cut, parts_if_open, reference_letters, tail_state
 from .unicode_forms import skeleton

@@ -22,9 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_width
+from ..session import cut_lineage, materialize, shuffle_width
 from .answers import Answer, has_words, letters, read_answer
-from .storage import materialize
 from .unicode_forms import skeleton
 
 EMPTY, COMPLETE, CUT, OPEN_END = 0, 1, 2, 3

@@ -5,7 +5,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import consensus, groups, mixing, ordering, queries
+from palimpsest.llm import consensus, groups, mixing, queries
+from palimpsest.operators import ordering
 
 AT = datetime(2026, 1, 1)
 
