@@ -84,34 +84,40 @@ REFUSAL_WORDS = """
     죄송* 미안* 글* 글은 텍스트* 문장* 내용* 요청* 번역* 도와* 도움* 제공* 처리* 답변* 없* 못* 어렵* 불가* 다른* 언어 모델*
 """
 REFUSAL_HAN = "很抱歉|抱歉|对不起|很遗憾|遗憾|无法|不能|没办法|拒绝|不便|不会|翻译|提供|帮助|处理|回答|协助|完成|这段|该段|文字|文本|内容|请求|请|换|一段|其他|作为|语言模型|人工智能|您|你|我|的|这|为|给|因为|可能|违反|规定|规则|版权"
-_TEMPLATES = [[choice.split("|") for choice in line.split()] for line in REFUSALS]
-_CUES = {word.rstrip("*") for template in _TEMPLATES for word in template[0]}
+
+
+def _choices(part: str) -> tuple[frozenset[str], tuple[str, ...]]:
+    """The words and the stems of a template's part."""
+    words = part.split("|")
+    return frozenset(w for w in words if not w.endswith("*")), tuple(w[:-1] for w in words if w.endswith("*"))
+
+
+Template = list[tuple[frozenset[str], tuple[str, ...]]]
+_TEMPLATES: list[Template] = [[_choices(part) for part in line.split()] for line in REFUSALS]
+#: Templates by each word they can begin with; a template begins with a whole word.
+_BY_FIRST: dict[str, list[Template]] = {}
+for _template in _TEMPLATES:
+    for _word in _template[0][0]:
+        _BY_FIRST.setdefault(_word, []).append(_template)
 _PIECES = [[choice.split("|") for choice in line] for line in REFUSAL_PIECES]
 _ROUGH = {w for w in REFUSAL_WORDS.split() if not w.endswith("*")}
 _STEMS = tuple(w[:-1] for w in REFUSAL_WORDS.split() if w.endswith("*"))
 _HAN_PIECE = re.compile("|".join(sorted(REFUSAL_HAN.split("|"), key=len, reverse=True)))
 
 
-def _fits(word: str, choices: list[str]) -> bool:
-    return any(word.startswith(c[:-1]) if c.endswith("*") else word == c for c in choices)
-
-
-def aligned(words: list[str], template: list[list[str]], slack: int = 6) -> list[int]:
-    """Places of the words that the template is aligned with, in order and with at most ``slack`` words between parts; none if
-    it cannot be."""
-    for start, word in enumerate(words):
-        if not _fits(word, template[0]):
-            continue
-        places = [start]
-        for choices in template[1:]:
-            at = places[-1]
-            at = next((k for k in range(at + 1, min(len(words), at + 2 + slack)) if _fits(words[k], choices)), -1)
-            if at < 0:
+def aligned(words: list[str], start: int, template: Template, slack: int = 6) -> list[int]:
+    """Places of the words that the template is aligned with from ``start`` on, in order and with at most ``slack`` words between
+    parts; none if it cannot be."""
+    places = [start]
+    for whole, stems in template[1:]:
+        at = places[-1]
+        for k in range(at + 1, min(len(words), at + 2 + slack)):
+            if words[k] in whole or (stems and words[k].startswith(stems)):
+                places.append(k)
                 break
-            places.append(at)
         else:
-            return places
-    return []
+            return []
+    return places
 
 
 @lru_cache(maxsize=65536)
@@ -125,12 +131,11 @@ def _spoken(word: str) -> int:
 def is_refusal(text: str, words: list[str]) -> bool:
     """``text`` declines to answer and does nothing else: a template can be aligned with it, and template and vocabulary cover
     most of its words that are no function words, whatever its length."""
-    if any(w in _CUES for w in words):
-        places = {k for t in _TEMPLATES for k in aligned(words, t)}
-        if places:
-            spoken = [1 if k in places else _spoken(w) for k, w in enumerate(words)]
-            if spoken.count(1) >= REFUSAL_COVER * (spoken.count(1) + spoken.count(-1)):
-                return True
+    places = {k for start, w in enumerate(words) if w in _BY_FIRST for t in _BY_FIRST[w] for k in aligned(words, start, t)}
+    if places:
+        spoken = [1 if k in places else _spoken(w) for k, w in enumerate(words)]
+        if spoken.count(1) >= REFUSAL_COVER * (spoken.count(1) + spoken.count(-1)):
+            return True
     if text.isascii():
         return False
     for parts in _PIECES:
