@@ -772,11 +772,6 @@ SQL |= {
         e AS (SELECT *, CASE WHEN json_valid(r3) AND starts_with(r3, '{{') AND NOT regexp_matches(r3, ',\s*\}}$') THEN r3 END AS j FROM c),
         f AS (SELECT *, coalesce(nullif({_strip('coalesce(' + _KEY_FIELD.format('j') + ", '')")}, ''), r3) AS x, length({_strip("coalesce(translation, '')")}) AS n FROM e)
         SELECT result_id, x AS extracted_text, {_PATTERN_FIELD.format('j')} AS predicted_noise_pattern, round(CASE WHEN n > 0 THEN length(x)::DOUBLE / n ELSE 1.0 END, 6) AS coverage FROM f""",
-    "parse_silver_responses": rf"""WITH s AS (SELECT DISTINCT idx, silver_model, run_at, silver_raw_response AS raw FROM silver_label),
-        a AS (SELECT *, {_strip("regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g')")} AS r1 FROM s), b AS (SELECT *, {_strip(r"regexp_replace(r1, '(?is)^(thinking|reasoning|analysis):?\s*\n.*?\n\n(\{{)', '\2')")} AS bare FROM a),
-        c AS (SELECT *, nullif(regexp_extract(bare, '(?s)```(?:json)?\s*(\{{.*?\}})\s*```', 1), '') AS fenced, nullif(regexp_extract(bare, '(?s)\{{[^{{}}]*"extracted_translation"[^{{}}]*\}}'), '') AS held FROM b),
-        e AS (SELECT *, list_filter([fenced, bare, held], lambda t: CASE WHEN t IS NOT NULL AND json_valid(t) AND starts_with(t, '{{') AND NOT regexp_matches(t, ',\s*\}}$') THEN json_exists(t, '$.extracted_translation') ELSE false END)[1] AS j FROM c)
-        SELECT idx, silver_model, run_at, {_KEY_FIELD.format('j')} AS extracted FROM e""",
     "source_reuse": SQL["split_sample"],
     "sink_instances": SQL["rule_instances"],
     "sink_metrics": SQL["eval_extraction"],
