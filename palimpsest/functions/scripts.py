@@ -31,7 +31,7 @@ SURE_SHORT, SURE_LONG, SHORT_FOR_MODEL, DOUBT, SHARE_IN_DOUBT = 0.7, 0.5, 20, 0.
 
 
 def _count(text: Column, name: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{SCRIPT_RANGES[name]}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{SCRIPT_RANGES[name]}]+", ""))  # runs, not single characters
 
 
 def all_shares(bare: Column) -> Column:
